@@ -88,6 +88,8 @@ def rules() -> dict[str, Column]:
         "letters": _vote(100 * c("n_other") > 18 * chars, 100 * c("n_other") <= 10 * chars),
         "capitals": _vote(10 * c("n_upper") > 3 * chars, 100 * c("n_upper") <= 12 * chars),
         "stops": _vote(100 * c("n_stops") < n, 100 * c("n_stops") >= 4 * n),
+        "marks": _vote(10 * (c("n_symbols") + c("n_calls")) > n, 100 * (c("n_symbols") + c("n_calls")) <= n),
+        "plain": _vote(100 * (c("n_other") + c("n_upper")) > 25 * chars, 100 * (c("n_other") + c("n_upper")) <= 18 * chars),
         "calls": _vote(10 * c("n_calls") > n, 100 * c("n_calls") <= n),
         "lines": _vote(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
         "repeats": _vote(10 * c("n_repeat_words") > 3 * n, 100 * c("n_repeat_words") <= 5 * n),
