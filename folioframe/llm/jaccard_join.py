@@ -9,11 +9,13 @@ Each document picks the l of the least estimated cost: looking up its prefix
 (the sum of its shingles' document counts) and verifying what shares l of them
 (at most that sum divided by l).
 
-Groups of near copies would make a candidate of every pair.  So where more than
-``LONG`` documents share a prefix shingle, all are first verified against two
-leaders only; documents linked through a leader carry its label, and later
-only pairs of different labels are candidates.  Nothing is capped: every pair
-that the prefixes allow is verified or already known to be connected.
+Where at most ``LONG`` documents share a prefix shingle, every two of them are
+counted and verified when they share enough.  Longer lists would make a
+candidate of every pair of a group of near copies, so their documents are
+dealt into blocks around each list's most central document, and every two
+blocks that meet in a list are joined by counting in one task, which returns
+only the links that connect something new.  Large blocks are split by hash.
+Nothing is capped: a pair that the prefixes allow is verified in either way.
 
 Defined results: texts without words (null, empty) have an empty set, linked
 with nothing; with fewer words than a shingle the whole sequence is the one
@@ -32,9 +34,9 @@ from folioframe.llm import store, textnp
 from folioframe.llm.components import components
 from folioframe.llm.exchange import cuts, dealt, pack_plain, pack_sorted, unpack_plain, unpack_sorted
 
-LONG, MAX_MATCHES, VERIFY_COST, GROUP = 16, 8, 20.0, 256
+LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 256
 _PRINT = 40
-INFO = "doc_id long, n long, k1 long, k2 long, l int, tokens array<long>, levels array<int>"
+INFO = "doc_id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for doc, a, b in zip(table.column("doc_id").to_pylist(), edge[:-1], edge[1:], strict=True):
                 n = int(b - a)
                 if not n:
-                    out.append((doc, 0, 0, 0, 1, [], []))
+                    out.append((doc, 0, 0, 0, 0, 1, [], []))
                     continue
                 need = (percent * n + 99) // 100
                 most = min(MAX_MATCHES, need)
@@ -109,9 +111,9 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 use = order[: base + l - 1]
                 level = np.maximum(np.arange(len(use)) - base + 2, 1)
                 shared = d[use] > 1
-                out.append((doc, n, int(x.sum().astype(np.int64)), int(second[a:b].sum().astype(np.int64)), l, x[use][shared].astype(np.int64), level[shared].astype(np.int32)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n", "k1", "k2", "l", "tokens", "levels"])
+                out.append((doc, n, int(x.sum().astype(np.int64)), int(second[a:b].sum().astype(np.int64)), int((d == 1).sum()), l, x[use][shared].astype(np.int64), level[shared].astype(np.int32)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n", "k1", "k2", "own", "l", "tokens", "levels"])
 
     base = dealt(docs)
     counted = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, prints binary, counts binary").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary")
@@ -157,38 +159,69 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     classes = info.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     lists = (
         info.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "n", "l", F.explode(F.arrays_zip("tokens", "levels")).alias("t"))
-        .select("doc_id", "n", "l", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
+        .select("doc_id", "n", "own", "l", F.explode(F.arrays_zip("tokens", "levels")).alias("t"))
+        .select("doc_id", "n", "own", "l", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
     )
-    lead = lambda seed: F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("o"), "doc_id", "n"))
-    heads = lists.groupBy("token").agg(F.count("*").alias("k"), F.array(lead(1), lead(2)).alias("heads")).where("k > 1")
-    lists = store.save(lists.join(heads, "token"), "lists")
-
-    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("a") != F.col("b"))
-    hints = lists.where(F.col("k") > LONG).select(F.col("doc_id").alias("b"), "n", F.explode("heads").alias("h")).select("b", "n", F.col("h.doc_id").alias("a"), F.col("h.n").alias("m"))
-    hints = store.save(hints.where(near).select("a", "b").distinct(), "hints")
-    links = store.save(verified(docs, hints, width, percent), "links")
-
-    label = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
-    jump = label.select(F.col("doc_id").alias("label"), F.col("label").alias("up"))
-    label = label.join(jump, "label", "left").select("doc_id", F.coalesce("up", "label").alias("label"))
-    lists = lists.join(label, "doc_id", "left").select("token", "doc_id", "n", "l", "level", F.coalesce("label", "doc_id").alias("label"))
-    main = lists.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
-    lists = store.save(lists.join(main, "token").withColumn("apart", F.col("label") != F.col("main")), "mixed")
-    one = lists.where("apart").select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "l", "level", "label")))
-    two = lists.select("token", "apart", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "l", "level", "label")))
+    central = F.min(F.struct((F.col("own") / F.col("n")).alias("r"), F.xxhash64("doc_id").alias("o"), "doc_id"))
+    several = lists.groupBy("token").agg(F.count("*").alias("k"), central["doc_id"].alias("centre")).where("k > 1")
+    lists = store.save(lists.join(several, "token").select("token", "doc_id", "n", "l", "level", "k", "centre"), "lists")
+
+    short = lists.where(F.col("k") <= LONG)
+    one = short.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "l", "level")))
+    two = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "l", "level")))
     matches = F.least("l1", "l2")
     pairs = (
         one.join(two, "token")
-        .where((F.col("label1") != F.col("label2")) & (~F.col("apart") | (F.col("doc_id1") < F.col("doc_id2"))))
-        .where((F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (F.greatest("level1", "level2") <= matches))
-        .groupBy(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
+        .where((F.col("doc_id1") < F.col("doc_id2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (F.greatest("level1", "level2") <= matches))
+        .groupBy(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
         .agg(F.count("*").alias("c"), F.min(matches).alias("l"))
         .where("c >= l")
         .select("a", "b")
     )
-    seen = hints.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = store.save(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-    roots = components(links.union(verified(docs, pairs, width, percent)))
+    links = verified(docs, store.save(pairs, "pairs"), width, percent).union(in_blocks(docs, lists.where(F.col("k") > LONG), width, percent))
+    roots = components(links)
     of = info.join(classes, same, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return of.join(roots, F.col("class_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+
+
+def in_blocks(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect all pairs of percent or more among documents that share a token of lists (token, doc_id, centre)."""
+    home = lists.groupBy("doc_id", "centre").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
+    sizes = home.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
+    home = home.join(sizes, "centre").select("doc_id", F.xxhash64("centre", F.pmod(F.xxhash64("doc_id"), F.col("_b"))).alias("block"))
+    home = store.save(home, "home")
+    met = lists.select("token", "doc_id").join(home, "doc_id").select("token", "block").distinct()
+    meet = met.join(met.select("token", F.col("block").alias("block2")), "token").where("block <= block2").select("block", "block2").distinct()
+    meet = store.save(meet, "meet")
+    first = meet.select("block", "block2", F.lit(0).alias("side"), F.col("block").alias("at"))
+    second = meet.where("block <> block2").select("block", "block2", F.lit(1).alias("side"), F.col("block2").alias("at"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(home.select("doc_id", F.col("block").alias("at")), "doc_id")
+    sent = texts.join(first.union(second), "at").select("block", "block2", "side", "doc_id", "text")
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        h, edge = shingle_sets(*textnp.buffer_of(table.column("text").combine_chunks()), width)
+        size, ids, side = np.diff(edge), table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+        _, of, df = np.unique(h, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(size)), size)
+        posting = row[np.argsort(of, kind="stable")]
+        begin = np.cumsum(df) - df
+        own = np.arange(len(size))
+        twice = bool(side.max(initial=0))
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero((side == 0) & (size > 0)):
+            t = of[edge[i] : edge[i + 1]]
+            t = t[df[t] > 1]
+            n = df[t]
+            at = np.repeat(begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(posting[at], minlength=len(size))
+            hit = (100 * both >= percent * (size[i] + size - both)) & (both > 0) & (own != own[i])
+            hit &= (side == 1) if twice else (np.arange(len(size)) > i)
+            found = np.flatnonzero(hit)
+            if len(found):
+                labels, where = np.unique(own[found], return_index=True)
+                out += [(int(ids[i]), int(ids[j])) for j in found[where]]
+                own[np.isin(own, labels)] = own[i]
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return sent.groupBy("block", "block2").applyInArrow(count, "a long, b long")
