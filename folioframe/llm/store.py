@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
-    """df written under the shared folder and read back; its schema is kept."""
+def save(df: DataFrame, name: str, partitions: list[str] | None = None, large: bool = False) -> DataFrame:
+    """df written under the shared folder and read back; its schema is kept.
+
+    large: wait for the shuffle files behind it to go, which takes two
+    collections as Python's references to the plans go first.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path, partitionBy=partitions)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files go once nothing refers to them
+    for _ in range(1 + large):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5 * large)
     return out
 
 

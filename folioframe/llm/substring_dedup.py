@@ -160,7 +160,7 @@ class SubstringIndex:
         sent = base.groupBy("chunk").applyInArrow(send, ROW)
         for r in self.runs:
             sent = sent.unionByName(r)
-        merged = store.save(sent.groupBy("bucket").applyInArrow(merge, ROW), "run", partitions=["kind"]).select(*ROW.replace(",", "").split()[::2])
+        merged = store.save(sent.groupBy("bucket").applyInArrow(merge, ROW), "run", partitions=["kind"], large=True).select(*ROW.replace(",", "").split()[::2])
         if keep:
             self.runs.append(merged.where("kind = 1"))
             if len(self.runs) > self.fan_in:
@@ -182,7 +182,7 @@ class SubstringIndex:
         every = self.runs[0]
         for r in self.runs[1:]:
             every = every.unionByName(r)
-        self.runs = [store.save(every.groupBy("bucket").applyInArrow(join, ROW), "compacted")]
+        self.runs = [store.save(every.groupBy("bucket").applyInArrow(join, ROW), "compacted", large=True)]
 
 
 def dedup(docs: DataFrame, batches: int = 2, width: int = WINDOW) -> DataFrame:
