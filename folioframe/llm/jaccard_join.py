@@ -120,41 +120,10 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return base.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(apply, INFO)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets reach percent.
-
-    Texts travel once to each leader's group, and a leader with many partners
-    has its groups split, each with a copy of the leader.
-    """
-
-    def check(table: pa.Table) -> pa.Table:
-        lead = table.column("a")[0].as_py()
-        h, edge = shingle_sets(*textnp.buffer_of(table.column("text").combine_chunks()), width)
-        ids = table.column("doc_id").to_pylist()
-        own = [h[edge[i] : edge[i + 1]] for i, d in enumerate(ids) if d == lead]
-        found = set()
-        for i, d in enumerate(ids):
-            x = h[edge[i] : edge[i + 1]]
-            for y in own if d != lead else ():
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if not len(small):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found.add(d)
-        return pa.table([pa.array([lead] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["a", "b"])
-
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("_g"))
-    asked = pairs.join(groups, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("_g")).cast("int").alias("salt"))
-    asked = asked.union(asked.select("a", F.col("a").alias("doc_id"), "salt").distinct())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").groupBy("a", "salt").applyInArrow(check, "a long, b long")
-
-
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable by links) of each row."""
     docs = docs.select("doc_id", "text")
-    info = store.save(prefixes(docs, width, percent), "prefixes")
+    info = store.save(prefixes(docs, width, percent), "prefixes", large=True)
     same = ["n", "k1", "k2"]
     classes = info.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     lists = (
@@ -178,14 +147,22 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .where("c >= l")
         .select("a", "b")
     )
-    links = verified(docs, store.save(pairs, "pairs"), width, percent).union(in_blocks(docs, lists.where(F.col("k") > LONG), width, percent))
-    roots = components(links)
+    asked = partners(store.save(pairs, "pairs")).union(blocks(lists.where(F.col("k") > LONG)))
+    roots = components(links(docs, asked, width, percent))
     of = info.join(classes, same, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return of.join(roots, F.col("class_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
 
-def in_blocks(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that connect all pairs of percent or more among documents that share a token of lists (token, doc_id, centre)."""
+def partners(pairs: DataFrame) -> DataFrame:
+    """Tasks (kind, x, y, side, doc_id) that join each a of pairs (a, b) with its partners; many partners are split, each part with a copy of a."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("_g"))
+    member = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_g")).alias("y"))
+    head = member.select("a", "y").distinct()
+    return head.select(F.lit(0).alias("kind"), F.col("a").alias("x"), "y", F.lit(0).alias("side"), F.col("a").alias("doc_id")).union(member.select(F.lit(0), "a", "y", F.lit(1), "b"))
+
+
+def blocks(lists: DataFrame) -> DataFrame:
+    """Tasks (kind, x, y, side, doc_id) that join the documents of every two blocks that meet in a token of lists (token, doc_id, centre)."""
     home = lists.groupBy("doc_id", "centre").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
     sizes = home.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
     home = home.join(sizes, "centre").select("doc_id", F.xxhash64("centre", F.pmod(F.xxhash64("doc_id"), F.col("_b"))).alias("block"))
@@ -193,10 +170,16 @@ def in_blocks(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> Da
     met = lists.select("token", "doc_id").join(home, "doc_id").select("token", "block").distinct()
     meet = met.join(met.select("token", F.col("block").alias("block2")), "token").where("block <= block2").select("block", "block2").distinct()
     meet = store.save(meet, "meet")
-    first = meet.select("block", "block2", F.lit(0).alias("side"), F.col("block").alias("at"))
-    second = meet.where("block <> block2").select("block", "block2", F.lit(1).alias("side"), F.col("block2").alias("at"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(home.select("doc_id", F.col("block").alias("at")), "doc_id")
-    sent = texts.join(first.union(second), "at").select("block", "block2", "side", "doc_id", "text")
+    first = meet.select(F.col("block").alias("x"), F.col("block2").alias("y"), F.lit(0).alias("side"), "block")
+    second = meet.where("block <> block2").select("block", "block2", F.lit(1), "block2")
+    return home.join(first.union(second), "block").select(F.lit(1).alias("kind"), "x", "y", "side", "doc_id")
+
+
+def links(docs: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect all pairs of percent or more between the sides of each task, or within a task of one side.
+
+    Texts are looked up once, and travel to each of their tasks.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")]).combine_chunks()
@@ -224,4 +207,5 @@ def in_blocks(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> Da
                 own[np.isin(own, labels)] = own[i]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    return sent.groupBy("block", "block2").applyInArrow(count, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(asked, "doc_id").groupBy("kind", "x", "y").applyInArrow(count, "a long, b long")
