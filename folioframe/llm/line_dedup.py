@@ -46,9 +46,9 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
     seen = docs.select(F.explode(lines).alias("line")).groupBy("line").agg(F.count("*").alias("docs"))
     seen = seen.withColumn("t", _tokens(F.col("line")))
     path = F.xxhash64(F.size("t"), *(F.coalesce(F.get("t", F.lit(k)), F.lit("")) for k in range(depth)))
-    seen = store.save(seen.select(path.alias("leaf"), "docs", F.xxhash64("line").alias("line"), F.array_join("t", " ").alias("t")), "lines")
+    seen = store.save(seen.select(path.alias("leaf"), "docs", F.xxhash64("line").alias("line"), F.array_join("t", " ").alias("t")), "lines", large=True)
     leaves = seen.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= min_docs)
-    reached = store.save(seen.join(leaves, "leaf").select("leaf", "line", "docs", "t", "kinds"), "leaves")
+    reached = store.save(seen.join(leaves, "leaf").select("leaf", "line", "docs", "t", "kinds"), "leaves", large=True)
     mixed = reached.where("kinds > 1").select("leaf", "line", "docs", F.posexplode(F.split("t", " ")).alias("pos", "token"))
     constant = mixed.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("same"))
     shape = (
