@@ -15,7 +15,9 @@ an empty table gives no pieces; repeated rows are packed each on its own
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from folioframe.llm import store, textnp
 WINDOW, END = 4096, 2
 CACHE_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_cache: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_cache: dict[str, "_Words"] = {}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,32 +39,80 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
-    if path not in _cache:
+class _Words:
+    """Ids of single words as bytes, kept in a bounded cache.
+
+    Words of printable ASCII and Latin-1 letters are split by the vocabulary
+    file's own pattern and merged by a byte-pair encoder over the file's
+    merges, where one more byte stands for the end of a word; all others go
+    through the tokenizer itself.  Both give the same ids.
+    """
+
+    _plain = re.compile("[!-~\u00c0-\u00ff]+")
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _cache[path] = (Tokenizer.from_file(path), {})
-    return _cache[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.piece = None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, steps = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if model.get("end_of_word_suffix") == "</w>" and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
+            self._build(model, steps[0]["pattern"]["Regex"])
+
+    def _build(self, model: dict, pattern: str) -> None:
+        import regex
+        import tiktoken
+
+        from folioframe.llm.token_counts import byte_symbols
+
+        of = byte_symbols()
+        mark = b"\xff"  # not in UTF-8
+        plain = lambda t: bytes(of[c] for c in t.removesuffix("</w>")) + mark * t.endswith("</w>")
+        vocab = model["vocab"]
+        tokens = {bytes([b]): vocab[c] for c, b in of.items()} | {bytes([b]) + mark: vocab[c + "</w>"] for c, b in of.items()}
+        for merge in model["merges"]:
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            tokens.setdefault(plain(a) + plain(b), vocab[a + b])
+        encoding = tiktoken.Encoding("words", pat_str="\\S+", mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+        self.piece, self.mark, self.pattern = encoding._encode_single_piece, mark, regex.compile(pattern)
+        self.ids = [i.to_bytes(4, "little") for i in tokens.values()]
+
+    def learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            t = w.decode("utf-8")
+            if self.piece and self._plain.fullmatch(t) and "<|" not in t:
+                self.known[w] = b"".join([self.ids[k] for p in self.pattern.findall(t.lower()) for k in self.piece(p.encode("utf-8") + self.mark)])
+            else:
+                rest.append((w, t))
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Token ids (little-endian unsigned 32 bits) of each UTF-8 text.
 
     The vocabulary drops white space, so the words between ASCII white space
-    are tokenised one by one and kept in a bounded cache of the process.
+    are tokenised one by one.
     """
-    tokenizer, known = _tokenizer(path)
+    if path not in _cache:
+        _cache[path] = _Words(path)
+    words = _cache[path]
     split = [t.split() for t in texts]
-    new = list(set().union(*split) - known.keys()) if split else []
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(set().union(*split))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    every = set().union(*split)
+    new = every - words.known.keys()
+    if len(words.known) + len(new) > CACHE_WORDS:
+        words.known.clear()
+        new = every
+    words.learn(list(new))
+    known = words.known
+    return [b"".join([known[w] for w in s]) for s in split]
 
 
 def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
