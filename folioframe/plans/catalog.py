@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import raster_queries
+from folioframe.plans import raster_queries, region_queries
 
-QUERIES = dict(raster_queries.QUERIES)
-ORACLE = dict(raster_queries.ORACLE)
+FAMILIES = (raster_queries, region_queries)
+QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
+ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
