@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from folioframe.llm import store, textnp
 
 WINDOW, END = 4096, 2
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _cache: dict[str, "_Words"] = {}
 
@@ -48,6 +48,7 @@ class _Words:
     through the tokenizer itself.  Both give the same ids.
     """
 
+    _letters = re.compile(b"[A-Za-z]+")
     _plain = re.compile("[!-~\u00c0-\u00ff]+")
 
     def __init__(self, path: str) -> None:
@@ -56,7 +57,8 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.piece = None
+        self.piece = self.mark = None
+        self.ids: list[bytes] = []
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, steps = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -78,15 +80,18 @@ class _Words:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             tokens.setdefault(plain(a) + plain(b), vocab[a + b])
         encoding = tiktoken.Encoding("words", pat_str="\\S+", mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
-        self.piece, self.mark, self.pattern = encoding._encode_single_piece, mark, regex.compile(pattern)
+        self.piece, self.mark, self.pattern = encoding._core_bpe.encode_single_piece, mark, regex.compile(pattern)
         self.ids = [i.to_bytes(4, "little") for i in tokens.values()]
 
     def learn(self, words: list[bytes]) -> None:
-        rest = []
+        rest, known, ids, piece, mark, letters, plain = [], self.known, self.ids, self.piece, self.mark, self._letters.fullmatch, self._plain.fullmatch
         for w in words:
+            if piece and letters(w):
+                known[w] = b"".join([ids[k] for k in piece(w.lower() + mark)])
+                continue
             t = w.decode("utf-8")
-            if self.piece and self._plain.fullmatch(t) and "<|" not in t:
-                self.known[w] = b"".join([self.ids[k] for p in self.pattern.findall(t.lower()) for k in self.piece(p.encode("utf-8") + self.mark)])
+            if piece and plain(t) and "<|" not in t:
+                known[w] = b"".join([ids[k] for p in self.pattern.findall(t.lower()) for k in piece(p.encode("utf-8") + mark)])
             else:
                 rest.append((w, t))
         for i in range(0, len(rest), 20_000):
@@ -104,15 +109,19 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     if path not in _cache:
         _cache[path] = _Words(path)
     words = _cache[path]
-    split = [t.split() for t in texts]
-    every = set().union(*split)
-    new = every - words.known.keys()
-    if len(words.known) + len(new) > CACHE_WORDS:
-        words.known.clear()
-        new = every
-    words.learn(list(new))
     known = words.known
-    return [b"".join([known[w] for w in s]) for s in split]
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    out = []
+    for t in texts:
+        split = t.split()
+        try:
+            ids = b"".join([known[w] for w in split])
+        except KeyError:
+            words.learn([w for w in set(split) if w not in known])
+            ids = b"".join([known[w] for w in split])
+        out.append(ids)
+    return out
 
 
 def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
