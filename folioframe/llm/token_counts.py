@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 words = data[i:j].lower().split()
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                for w in set(words) - known.keys():
+                for w in {w for w in words if w not in known}:
                     n = automaton.count((*w, END_MARK))
                     known[w] = -1 if n is None else n
                 counts = [known[w] for w in words]
