@@ -21,23 +21,22 @@ def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned integers as compressed differences."""
     d = np.diff(values, prepend=values[:1] * 0).astype("<u8")
     wide = int(d.max(initial=0)) >= 1 << 32
-    return (b"\1" if wide else b"\0") + zstandard.compress((d if wide else d.astype("<u4")).view(np.uint8).reshape(len(d), -1).T.tobytes(), 1)
+    return (b"\1" if wide else b"\0") + pack_plain(d, "<u8" if wide else "<u4")
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    width = 8 if blob[0] else 4
-    planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(width, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_plain(blob[1:], "<u8" if blob[0] else "<u4"), dtype=np.uint64)
 
 
 def pack_plain(values: np.ndarray, kind: str) -> bytes:
     v = np.ascontiguousarray(values.astype(kind))
-    return zstandard.compress(v.view(np.uint8).reshape(len(v), -1).T.tobytes() if len(v) else b"", 1)
+    return zstandard.compress(v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes(), 1)
 
 
 def unpack_plain(blob: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    raw = zstandard.decompress(blob)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
 def dealt(docs: DataFrame, per_part: int = 2) -> DataFrame:
