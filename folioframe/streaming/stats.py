@@ -20,6 +20,7 @@ def events_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Statistics by event-time window; events later than the watermark are dropped."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return running(events.withWatermark("ts", late), F.window("ts", width))
 
 
