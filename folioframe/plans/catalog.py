@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import page_queries, raster_queries, region_queries, threshold_queries
+from folioframe.plans import page_queries, raster_queries, region_queries, shape_queries, threshold_queries
 
-FAMILIES = (raster_queries, threshold_queries, region_queries, page_queries)
+FAMILIES = (raster_queries, threshold_queries, region_queries, shape_queries, page_queries)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE = {k: v for f in FAMILIES for k, v in f.ORACLE.items()}
 
