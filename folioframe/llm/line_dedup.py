@@ -10,7 +10,9 @@ the smallest id that has it.
 
 Lines without a word never match and always stay.  Distinct lines are counted
 before anything is joined, texts are never gathered by line, and what decides
-a document's lines are positions only.
+a document's lines are positions only.  Templates that hold a thousandth of
+all hits or more, a thousand at most, are joined by broadcast, so that no task
+gets one template's hits; the others by an exchange.
 
 Defined results: null text stays null with no lines; empty texts stay; rows
 without an id are never first unless no row has one; repeated rows count as
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from folioframe.llm import store
 
 DEPTH, MIN_DOCS, SIMILAR = 3, 10, 70
+HOT = 1000  # a key with a share of one in HOT of the rows is hot, so there are at most HOT such keys
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
 
@@ -72,8 +75,15 @@ def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, simil
     hits = store.save(lines.join(of, "line").select("doc_id", "mark", "pos", "template"), "hits")
     last = F.lit((1 << 63) - 1)
     key = F.coalesce(F.col("doc_id"), last)
-    recurring = hits.select("template", key.alias("k"), "mark").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("k").alias("first")).where(F.col("n") >= min_docs).select("template", "first")
-    return hits.join(recurring, "template").where(key != F.col("first")).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
+    counts = hits.select("template", key.alias("k"), "mark").groupBy("template", "k", "mark").agg(F.count("*").alias("hits"))
+    recurring = counts.groupBy("template").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.sum("hits").alias("hits")).where(F.col("n") >= min_docs)
+    recurring = store.save(recurring.select("template", "first", "hits"), "recurring")
+    hot = F.col("hits") * HOT >= hits.count()
+    top = recurring.where(hot).select("template", F.col("first").alias("top"))
+    rows = hits.join(F.broadcast(top), "template", "left")
+    often = rows.where(F.col("top").isNotNull() & (key != F.col("top"))).select("doc_id", "mark", "pos")
+    rest = rows.where(F.col("top").isNull()).join(recurring.where(~hot), "template").where(key != F.col("first")).select("doc_id", "mark", "pos")
+    return often.unionByName(rest).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
 def clean(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: int = SIMILAR) -> DataFrame:

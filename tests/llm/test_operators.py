@@ -278,3 +278,13 @@ def test_pipeline(spark, tmp_path):
     assert not got & {900, 901, 902, 970} and not {60 + i for i in range(0, 60, 4) if len(split(docs[i])) >= 5} & got
     assert {i for i in range(60) if len(split(docs[i])) >= 5 and i % 4} <= got
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_line_dedup_hot_and_other_templates(spark, monkeypatch):
+    docs = {i: "\n".join([f"seen {i} times in all", "the same line everywhere" if i % 3 else f"own line {'abc'[i % 3]}", f"word{'x' * (i % 2)} here"]) for i in range(40)}
+    want = sorted(tuple(r) for r in line_dedup.clean(frame(spark, docs), min_docs=5).select("doc_id", "text", "_n_dropped").collect())
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    assert sorted(tuple(r) for r in line_dedup.clean(frame(spark, docs), min_docs=5).select("doc_id", "text", "_n_dropped").collect()) == want
+    monkeypatch.setattr(line_dedup, "HOT", 0)
+    assert sorted(tuple(r) for r in line_dedup.clean(frame(spark, docs), min_docs=5).select("doc_id", "text", "_n_dropped").collect()) == want
+    assert sum(n for _, _, n in want) > 60
