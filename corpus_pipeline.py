@@ -8,7 +8,8 @@ intermediate tables of the stages before it, as their results are written out.
 Defined results: documents with no text or no letter are rejected by the first
 stage; a document that line dedup leaves without a word goes; of a group of
 near duplicates the smallest id stays; documents that hold a benchmark item go;
-empty tables pass through all stages.
+lines that two documents or more still have stay in the one with the smallest
+id; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates."""
     store.release(spark)
-    out = line_dedup.clean(docs).where((F.col("_n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return _with_words(line_dedup.clean(docs), docs)
+
+
+def _with_words(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, without the rows that lost their last word."""
+    out = out.where((F.col("_n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.select(*(F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
@@ -45,10 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, without the lines that a document before them has: no later stage takes a document out."""
     store.release(spark)
     leaks = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    clean = store.save(docs.join(leaks, "doc_id", "left_anti").select(*docs.columns), "uncontaminated")
+    return _with_words(line_dedup.without_repeats(clean), clean)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,13 @@ a document's lines are positions only.  Templates that hold a thousandth of
 all hits or more, a thousand at most, are joined by broadcast, so that no task
 gets one template's hits; the others by an exchange.
 
+``without_repeats`` is for identical lines that fewer documents have: a masked
+line of ``words`` or more words that aren't variable fields, which are
+``similar`` percent of it at least, stays only in the document with the
+smallest id from ``exact`` documents on.  It belongs after all steps that take
+out documents: before them, a near copy would be left as a few odd lines that
+nothing resembles, and a line's one copy could go with its document.
+
 Defined results: null text stays null with no lines; empty texts stay; rows
 without an id are never first unless no row has one; repeated rows count as
 documents of one id and lose the same lines; ties need no order; empty tables
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 from folioframe.llm import store
 
 DEPTH, MIN_DOCS, SIMILAR = 3, 10, 70
+EXACT, WORDS = 2, 4
 HOT = 1000  # a key with a share of one in HOT of the rows is hot, so there are at most HOT such keys
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
@@ -72,7 +80,21 @@ def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, simil
     of = store.save(templates(texts, depth, min_docs, similar), "templates")
     lines = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "l"))
     lines = lines.where(F.col("l").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "mark", "pos", F.xxhash64(masked(F.col("l"))).alias("line"))
-    hits = store.save(lines.join(of, "line").select("doc_id", "mark", "pos", "template"), "hits")
+    return _later(store.save(lines.join(of, "line").select("doc_id", "mark", "pos", "template"), "hits"), min_docs)
+
+
+def repeated(docs: DataFrame, exact: int = EXACT, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Like dropped, for identical masked lines of exact documents or more."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "l")).select("doc_id", "mark", "pos", masked(F.col("l")).alias("l"))
+    t = _tokens(F.col("l"))
+    fixed = F.size(F.filter(t, lambda x: x != FIELD))
+    lines = lines.where((fixed >= words) & (100 * fixed >= similar * F.size(t))).select("doc_id", "mark", "pos", F.xxhash64(F.array_join(t, " ")).alias("template"))
+    several = lines.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= exact).select("template")
+    return _later(store.save(lines.join(several, "template").select("doc_id", "mark", "pos", "template"), "hits"), exact)
+
+
+def _later(hits: DataFrame, min_docs: int) -> DataFrame:
+    """doc_id, mark, gone: the hits of templates that min_docs documents have, but for those of the first document."""
     last = F.lit((1 << 63) - 1)
     key = F.coalesce(F.col("doc_id"), last)
     counts = hits.select("template", key.alias("k"), "mark").groupBy("template", "k", "mark").agg(F.count("*").alias("hits"))
@@ -88,7 +110,16 @@ def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, simil
 
 def clean(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: int = SIMILAR) -> DataFrame:
     """docs with the recurring lines taken out of text, and _n_lines and _n_dropped."""
-    gone = dropped(docs, depth, min_docs, similar).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
+    return _without(docs, dropped(docs, depth, min_docs, similar))
+
+
+def without_repeats(docs: DataFrame, exact: int = EXACT, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Like clean, with the lines taken out that are identical in exact documents or more."""
+    return _without(docs, repeated(docs, exact, words, similar))
+
+
+def _without(docs: DataFrame, lines_gone: DataFrame) -> DataFrame:
+    gone = lines_gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left")
     lines = F.split("text", "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))

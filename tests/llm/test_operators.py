@@ -288,3 +288,16 @@ def test_line_dedup_hot_and_other_templates(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 0)
     assert sorted(tuple(r) for r in line_dedup.clean(frame(spark, docs), min_docs=5).select("doc_id", "text", "_n_dropped").collect()) == want
     assert sum(n for _, _, n in want) > 60
+
+
+def test_lines_of_two_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    line = "the very same sentence stands in both of them"
+    docs = {1: f"alpha beta gamma delta\n{line}\nshort one", 2: f"other words of this document\n{line}\nshort one", 3: "a 17 b 18 c\nrow 1 2 3 4 5 6 7 8", 4: "a 19 b 20 c\nrow 2 3 4 5 6 7 8 9", 5: line, None: f"{line}\nand more of it here"}
+    rows = {r["doc_id"]: r for r in line_dedup.without_repeats(frame(spark, docs)).collect()}
+    assert {i: r["_n_dropped"] for i, r in rows.items()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, None: 1}
+    assert rows[1]["text"] == docs[1] and rows[2]["text"] == "other words of this document\nshort one"
+    spark.createDataFrame([(0, "x y")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.decontaminated(spark, frame(spark, docs), str(tmp_path)).collect()}
+    assert left == {i: r["text"] for i, r in rows.items() if i != 5}
