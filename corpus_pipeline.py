@@ -7,7 +7,8 @@ intermediate tables of the stages before it, as their results are written out.
 
 Defined results: documents with no text or no letter are rejected by the first
 stage; a document that line dedup leaves without a word goes; of a group of
-near duplicates the smallest id stays; documents that hold a benchmark item go;
+near duplicates one row stays, of the smallest id, and of one without an id
+only where no row has one; documents that hold a benchmark item go;
 lines that two documents or more still have stay in the one with the smallest
 id; empty tables pass through all stages.
 """
@@ -46,8 +47,7 @@ def _with_words(out: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words a shingle, similarity 0.8 or more."""
     store.release(spark)
-    first = jaccard_join.join(docs, width=5, percent=80).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return jaccard_join.survivors(docs, width=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

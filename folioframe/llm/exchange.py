@@ -39,10 +39,10 @@ def unpack_plain(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
-def dealt(docs: DataFrame, per_part: int = 2) -> DataFrame:
-    """doc_id, text and their chunk, in as many partitions as the session shuffles to."""
+def dealt(docs: DataFrame, *extra: str, per_part: int = 2) -> DataFrame:
+    """doc_id, text, extra columns and their chunk, in as many partitions as the session shuffles to."""
     n = store.parts(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n * per_part)).cast("int")).repartition(n, "chunk")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n * per_part)).cast("int")).repartition(n, "chunk")
 
 
 def cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:

@@ -17,17 +17,23 @@ blocks that meet in a list are joined by counting in one task, which returns
 only the links that connect something new.  Large blocks are split by hash.
 Nothing is capped: a pair that the prefixes allow is verified in either way.
 
+Rows are told apart by a key of id and text, which null ids have too; ids only
+name the classes and components that are found by it.
+
 Defined results: texts without words (null, empty) have an empty set, linked
 with nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows that share an id share a component; empty tables give empty
-results; extra columns are ignored.
+shingle; rows without an id are joined like others, never name a class or
+component that has a row with one, and leave the name null where there is no
+such row; rows that share an id share a component in ``join``, but are apart in
+``survivors`` unless their texts are alike; of repeated rows one survives;
+empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import store, textnp
@@ -36,7 +42,7 @@ from folioframe.llm.exchange import cuts, dealt, pack_plain, pack_sorted, unpack
 
 LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 256
 _PRINT = 40
-INFO = "doc_id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
+INFO = "doc_id long, id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +66,17 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
+def row_key() -> Column:
+    """A key of id and text; null ids and null texts have one too."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text")
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """INFO of each row: set size, two sums that stand for the set, l, and the prefix shingles that more than one document has, with their levels."""
+    """INFO of each row (doc_id, id, text): set size, two sums that stand for the set, l, and the prefix shingles that more than one document has, with their levels."""
     buckets = store.parts(docs.sparkSession)
 
     def prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,10 +107,10 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             counts = [unpack_plain(r["counts"], "<u4") for r in sorted(right.to_pylist(), key=lambda r: r["bucket"])]
             df = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64)[of]
             second = textnp.mix(h + np.uint64(77))
-            for doc, a, b in zip(table.column("doc_id").to_pylist(), edge[:-1], edge[1:], strict=True):
+            for doc, name, a, b in zip(table.column("doc_id").to_pylist(), table.column("id").to_pylist(), edge[:-1], edge[1:], strict=True):
                 n = int(b - a)
                 if not n:
-                    out.append((doc, 0, 0, 0, 0, 1, [], []))
+                    out.append((doc, name, 0, 0, 0, 0, 1, [], []))
                     continue
                 need = (percent * n + 99) // 100
                 most = min(MAX_MATCHES, need)
@@ -111,23 +122,30 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 use = order[: base + l - 1]
                 level = np.maximum(np.arange(len(use)) - base + 2, 1)
                 shared = d[use] > 1
-                out.append((doc, n, int(x.sum().astype(np.int64)), int(second[a:b].sum().astype(np.int64)), int((d == 1).sum()), l, x[use][shared].astype(np.int64), level[shared].astype(np.int32)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n", "k1", "k2", "own", "l", "tokens", "levels"])
+                out.append((doc, name, n, int(x.sum().astype(np.int64)), int(second[a:b].sum().astype(np.int64)), int((d == 1).sum()), l, x[use][shared].astype(np.int64), level[shared].astype(np.int32)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "id", "n", "k1", "k2", "own", "l", "tokens", "levels"])
 
-    base = dealt(docs)
+    base = dealt(docs, "id")
     counted = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, prints binary, counts binary").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary")
     return base.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(apply, INFO)
 
 
-def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable by links) of each row."""
-    docs = docs.select("doc_id", "text")
+SAME = ["n", "k1", "k2", "lone"]
+
+
+def groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """INFO of each row by its key, and of each class (SAME) its least row (best: none, id, key), that of its component (least) and the component's root.
+
+    by_id: rows that share an id are linked too.
+    """
+    docs = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
     info = store.save(prefixes(docs, width, percent), "prefixes", large=True)
-    same = ["n", "k1", "k2"]
-    classes = info.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
+    info = info.withColumn("lone", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(0))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("key")))
+    classes = store.save(info.groupBy(*SAME).agg(F.min("doc_id").alias("class"), best.alias("best")), "classes")
     lists = (
-        info.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+        info.join(classes.where("n > 0").select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "n", "own", "l", F.explode(F.arrays_zip("tokens", "levels")).alias("t"))
         .select("doc_id", "n", "own", "l", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
     )
@@ -148,9 +166,26 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .select("a", "b")
     )
     asked = partners(store.save(pairs, "pairs")).union(blocks(lists.where(F.col("k") > LONG)))
-    roots = components(links(docs, asked, width, percent))
-    of = info.join(classes, same, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return of.join(roots, F.col("class_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    found = links(docs, asked, width, percent)
+    if by_id:
+        named = info.where("id IS NOT NULL").join(classes, SAME).select("id", "class").distinct()
+        several = named.groupBy("id").agg(F.min("class").alias("a"), F.count("*").alias("c")).where("c > 1").select("id", "a")
+        found = found.union(named.join(several, "id").where("class <> a").select("a", F.col("class").alias("b")))
+    of = classes.join(components(found), F.col("class") == F.col("id"), "left").select(*SAME, "best", F.coalesce("root", "class").alias("root"))
+    return info, of.join(of.groupBy("root").agg(F.min("best").alias("least")), "root")
+
+
+def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable by links) of each row."""
+    info, of = groups(docs, width, percent, by_id=True)
+    return info.join(of, SAME).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("best.id").alias("class_id"), F.col("least.id").alias("component_id"))
+
+
+def survivors(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row of each component of docs, whole: that of the least id, a row without an id only where none has one."""
+    _, of = groups(docs, width, percent, by_id=False)
+    keys = store.save(of.select(F.col("least.key").alias("_key")).distinct(), "survivors")
+    return docs.withColumn("_key", row_key()).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def partners(pairs: DataFrame) -> DataFrame:

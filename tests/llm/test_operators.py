@@ -301,3 +301,18 @@ def test_lines_of_two_documents(spark, tmp_path):
     spark.createDataFrame([(0, "x y")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.decontaminated(spark, frame(spark, docs), str(tmp_path)).collect()}
     assert left == {i: r["text"] for i, r in rows.items() if i != 5}
+
+
+def test_null_ids_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    text = lambda w, n=60: " ".join(f"{w}{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}" for k in range(n))
+    rows = [(None, text("u")), (None, text("v")), (None, text("v") + " more"), (7, text("w")), (7, text("w")), (None, text("w") + " end"), (8, text("x")), (8, text("y")), (None, text("z")), (None, text("z")), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.0, "t", 1) for i, t in rows], SCHEMA).repartition(3)
+    stay = corpus_pipeline.near_duplicates(spark, docs, "")
+    kept = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert stay.columns == docs.columns and len(kept) == len(set(kept))
+    want = {rows[0], rows[3], rows[6], rows[7], rows[8], rows[10], rows[11]}
+    assert want <= set(kept) and len(set(kept) - want) == 1 and set(kept) - want <= {rows[1], rows[2]}
+    joined = sorted((r["doc_id"] or 0, r["n_shingles"], r["class_id"] or 0, r["component_id"] or 0) for r in jaccard_join.join(docs).collect())
+    assert joined == sorted([(0, 57, 0, 0), (0, 57, 0, 0), (0, 58, 0, 0), (7, 57, 7, 7), (7, 57, 7, 7), (0, 58, 0, 7), (8, 57, 8, 8), (8, 57, 8, 8), (0, 57, 0, 0), (0, 57, 0, 0), (9, 0, 9, 9), (0, 0, 0, 0)])
