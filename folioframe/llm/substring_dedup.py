@@ -5,7 +5,7 @@ hash space, the sorted 48-bit fingerprints of all windows of a batch, each
 with check bits of an independent hash.  A new batch sends its own sorted
 fingerprints to the buckets, where they are merge-joined with all runs; a
 match counts once the check bits agree too (64 bits in all by default;
-``check="<u4"`` makes it 80).  The batch's new fingerprints become a run, and
+``check="<u4"`` makes it 80, as ``dedup`` does).  The batch's new fingerprints become a run, and
 runs are compacted into one when there are more than ``fan_in``.
 
 A window is removed if it starts in an earlier batch or, within the batch, in
@@ -190,7 +190,7 @@ def dedup(docs: DataFrame, batches: int = 2, width: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text")
     edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("e")).first()["e"] if batches > 1 else []
     edges = sorted(set(edges or []))
-    index = SubstringIndex(docs.sparkSession, width)
+    index = SubstringIndex(docs.sparkSession, width, check="<u4")
     out = None
     for k in range(len(edges) + 1):
         part = docs

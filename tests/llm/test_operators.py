@@ -316,3 +316,19 @@ def test_null_ids_and_repeated_rows(spark):
     assert want <= set(kept) and len(set(kept) - want) == 1 and set(kept) - want <= {rows[1], rows[2]}
     joined = sorted((r["doc_id"] or 0, r["n_shingles"], r["class_id"] or 0, r["component_id"] or 0) for r in jaccard_join.join(docs).collect())
     assert joined == sorted([(0, 57, 0, 0), (0, 57, 0, 0), (0, 58, 0, 0), (7, 57, 7, 7), (7, 57, 7, 7), (0, 58, 0, 7), (8, 57, 8, 8), (8, 57, 8, 8), (0, 57, 0, 0), (0, 57, 0, 0), (9, 0, 9, 9), (0, 0, 0, 0)])
+
+
+def test_substring_dedup_decides_by_80_bits(spark, monkeypatch):
+    made = []
+
+    class Seen(substring_dedup.SubstringIndex):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            made.append(self.check)
+
+        def add(self, docs, keep=True):
+            return docs
+
+    monkeypatch.setattr(substring_dedup, "SubstringIndex", Seen)
+    substring_dedup.dedup(frame(spark, {1: "a"}), batches=1)
+    assert made == ["<u4"]
