@@ -1,16 +1,18 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on figures of the whole
-text.  Expectation-maximisation over all documents' votes estimates how often
-each rule is right on good documents and how often votes are right on bad
-ones; a document is kept if its posterior probability of being good reaches
-one half.  The votes are counted
-by pattern first (at most 3 to the number of rules, whatever the corpus), so
-the estimation itself works on a small table.
-
-Defined results: null and empty texts have no words and fail the base rules;
-rows are judged each, repeated or not; with no documents, nothing is fitted
-and nothing returned; ties at one half are kept; extra columns are ignored.
+text.  Expectation-maximisation over all documents' votes estimates for each
+rule how often its vote on a good document is right and how often its vote on a
+bad one is; a document is kept if its posterior probability of being good
+reaches one half.  The votes are counted by pattern first (at most 3 to the
+number of rules, whatever the corpus), so the estimation itself works on a
+small table.
+
+Defined results: null and empty texts have no words and fail the base rules; a
+text of any length is split once, within its row; rows are judged each, with or
+without an id, repeated or not; with no documents, nothing is fitted and
+nothing returned; ties at one half are kept; extra columns of any name are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from folioframe.llm import store
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SHINGLE = 8
+POOLING = 0.5
 BASE = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -96,19 +99,20 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, float, list[float]]:
-    """Share of good documents, how often a vote on a bad document is right, and how often each rule's vote on a good one is.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, pooling: float = POOLING) -> tuple[float, list[float], list[float]]:
+    """Share of good documents, and how often each rule's vote on a bad one and on a good one is right.
 
-    Bad documents are bad in different ways, each of which few rules see; so
-    what rules catch of them is one number, and the estimate doesn't settle on
-    the most uniform kind.  Every estimate is smoothed, and a rule is right on
-    good documents more often than not, so that the classes keep their names.
+    Bad documents are bad in different ways, each of which few rules see; so a
+    rule's rate on them is drawn to the rate of all rules, by a prior that
+    counts as ``pooling`` times the votes of all bad documents.  Every estimate
+    is smoothed, and a rule is right on good documents more often than not, so
+    that the classes keep their names.
     """
     kinds = len(patterns[0][0]) if patterns else 0
-    share, caught, right = 0.8, 0.4, [0.95] * kinds
+    share, caught, right = 0.8, [0.4] * kinds, [0.95] * kinds
     for _ in range(rounds):
-        good = bad = voted = accused = 0.0
-        on, ok = [0.0] * kinds, [0.0] * kinds
+        good = bad = 0.0
+        on, ok, voted, accused = ([0.0] * kinds for _ in range(4))
         for votes, n in patterns:
             p = posterior(votes, share, caught, right)
             good += n * p
@@ -117,10 +121,12 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> t
                 if v:
                     on[r] += n * p
                     ok[r] += n * p * (v > 0)
-                    voted += n * (1 - p)
-                    accused += n * (1 - p) * (v < 0)
+                    voted[r] += n * (1 - p)
+                    accused[r] += n * (1 - p) * (v < 0)
         share = min(max((good + 8) / (good + bad + 10), 0.05), 0.99)
-        caught = min(max((accused + 4) / (voted + 10), 0.05), 0.95)
+        pooled = (sum(accused) + 4) / (sum(voted) + 10)
+        weight = pooling * bad + 10
+        caught = [min(max((k + weight * pooled) / (n + weight), 0.02), 0.98) for k, n in zip(accused, voted, strict=True)]
         right = [min(max((k + 1.9) / (n + 2), 0.6), 0.995) for k, n in zip(ok, on, strict=True)]
     return share, caught, right
 
@@ -130,12 +136,12 @@ def _weights(good: float, caught: float) -> tuple[float, float]:
     return math.log(good) - math.log(1 - caught), math.log(1 - good) - math.log(caught)
 
 
-def posterior(votes: tuple[int, ...], share: float, caught: float, right: list[float]) -> float:
+def posterior(votes: tuple[int, ...], share: float, caught: list[float], right: list[float]) -> float:
     """Probability that a document with these votes is good."""
     odds = math.log(share) - math.log(1 - share)
-    for v, good in zip(votes, right, strict=True):
+    for v, bad, good in zip(votes, caught, right, strict=True):
         if v:
-            odds += _weights(good, caught)[v < 0]
+            odds += _weights(good, bad)[v < 0]
     return 1 / (1 + math.exp(-max(min(odds, 500.0), -500.0)))
 
 
@@ -147,8 +153,8 @@ def judge(docs: DataFrame) -> DataFrame:
     patterns = sorted((tuple(r[v] for v in votes), r["count"]) for r in seen.groupBy(*votes).count().collect())
     share, caught, right = estimate(patterns)
     odds = F.lit(math.log(share) - math.log(1 - share))
-    for v, good in zip(votes, right, strict=True) if patterns else ():
-        plus, minus = _weights(good, caught)
+    for v, bad, good in zip(votes, caught, right, strict=True) if patterns else ():
+        plus, minus = _weights(good, bad)
         odds = odds + F.when(F.col(v) > 0, plus).when(F.col(v) < 0, minus).otherwise(0.0)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     quality = 1 / (1 + F.exp(-odds))
