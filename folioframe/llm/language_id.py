@@ -1,46 +1,61 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of hashed n-grams (of lower-cased characters, padded by a blank at word
-breaks) are added up over all labelled training rows by Spark; the matrix of
-log-probabilities has ``buckets`` x languages cells whatever the corpus and is
-broadcast.  Scoring adds up the rows of the matrix for a document's n-grams.
+Texts become code points: letters and their marks lower-cased, everything else
+a blank.  Counts of hashed n-grams of one to three of them are added up over all
+labelled training rows by Spark; the matrix of log-probabilities has
+``buckets`` x languages cells of four bytes whatever the corpus (64 KB a
+language) and is broadcast.  Scoring adds up the rows of the matrix for a
+document's n-grams.  The posterior of some hundred n-grams is near one, so a
+score below one half means a text of a few letters or an even mixture.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter,
-or nothing could be learnt; empty tables give empty results; repeated rows are
-scored each; ties go to the language first in order; extra columns are ignored.
+or nothing could be learnt; a text of any length is scored whole, in a slice of
+its own beyond a megabyte; rows without an id are never learnt from and have no
+``held_out``; empty tables give empty results; repeated rows are scored each;
+ties go to the language first in order; extra columns of any name are ignored,
+or pass through ``accepted`` unchanged.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import textnp
 
-ORDERS, BUCKETS, MAX_LANGUAGES = (1, 2, 3), 1 << 14, 512
-_LETTER = regex.compile(r"\p{L}")
-#: Bytes as classes: letters lower-cased, other ASCII all one blank.
-_FOLD = np.full(256, 32, np.uint8)
-_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123, dtype=np.uint8)
-_FOLD[128:] = np.arange(128, 256, dtype=np.uint8)
+ORDERS, BUCKETS = (1, 2, 3), 1 << 14
+_BLANK = 32
 
 
-def held_out(doc_id: str = "doc_id"):
+@cache
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its lower case where it is a letter or mark, else a blank; whether it is a letter."""
+    fold, letter = np.full(0x110000, _BLANK, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            low = chr(c).lower()
+            fold[c], letter[c] = ord(low) if len(low) == 1 else c, kind == "L"
+    return fold, letter
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def _grams(raw: np.ndarray, off: np.ndarray, orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each order n: bucket of the n-gram at each byte, where each document's first stands (one more than rows), n."""
-    code = textnp._BYTES.code[_FOLD[raw]]
-    h = np.zeros(len(raw), np.uint64)
+def _grams(points: np.ndarray, off: np.ndarray, orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each order n: bucket of the n-gram at each code point, where each document's first stands (one more than rows), n."""
+    code = textnp.mix(_fold()[0][points].astype(np.uint64))
+    h = np.zeros(len(code), np.uint64)
     for n in range(1, max(orders) + 1):
-        h = (h[: len(raw) - n + 1] if n > 1 else h) * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
+        h = (h[: len(code) - n + 1] if n > 1 else h) * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
         if n in orders:
             at = np.minimum(off, len(h))
             ids = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
@@ -48,8 +63,13 @@ def _grams(raw: np.ndarray, off: np.ndarray, orders: tuple[int, ...], buckets: i
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices with the code points of their texts and where each begins (one more than rows)."""
     for b in textnp.chunks(batches, max_bytes=1 << 20):
-        yield b, *textnp.buffer_of(b.column("text"))
+        raw, off = textnp.buffer_of(b.column("text"))
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        before = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
+        yield b, points, before[off]
 
 
 def fit(docs: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -57,12 +77,12 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b, raw, off in _slices(batches):
+        for b, points, off in _slices(batches):
             langs = np.array(b.column("lang").to_pylist(), object)
             names, which = np.unique(langs, return_inverse=True)
             for k, name in enumerate(names):
                 total.setdefault(name, np.zeros(buckets + 1, np.int64))[buckets] += int((which == k).sum())
-            for ids, _, n in _grams(raw, off, orders, buckets):
+            for ids, _, n in _grams(points, off, orders, buckets):
                 of, ends = np.repeat(which, np.diff(off))[: len(ids)], np.repeat(off[1:], np.diff(off))[: len(ids)]
                 own = np.arange(n, len(ids) + n) <= ends  # within one document
                 found = np.bincount((of * buckets + ids)[own], minlength=len(names) * buckets).reshape(len(names), buckets)
@@ -73,14 +93,10 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKET
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(v[at])], ["lang", "bucket", "n"])
 
     seen = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")
-    rows = seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [r["lang"] for r in rows]
+    rows = seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(rows["lang"]))
     counts = np.zeros((len(names), buckets + 1))
-    for k, r in enumerate(rows):
-        pairs = np.array([(x["bucket"], x["n"]) for x in r["c"]], np.int64)
-        counts[k, pairs[:, 0]] = pairs[:, 1]
+    counts[np.searchsorted(np.array(names, object), rows["lang"].to_numpy(object)) if names else [], rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     prior = np.log(counts[:, buckets] / max(1.0, counts[:, buckets].sum())) if names else np.zeros(0)
     grams = counts[:, :buckets] + smoothing
     return names, prior, np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
@@ -89,12 +105,12 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKET
 def _scored(batches: Iterator[pa.RecordBatch], model: tuple[list[str], np.ndarray, np.ndarray], orders: tuple[int, ...]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     names, prior, matrix = model
     kinds = len(names)
-    for b, raw, off in _slices(batches):
+    for b, points, off in _slices(batches):
         size = np.diff(off)
         pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-        if kinds and len(raw):
+        if kinds and len(points):
             total = np.zeros((b.num_rows, kinds))
-            for ids, at, n in _grams(raw, off, orders, len(matrix)):
+            for ids, at, n in _grams(points, off, orders, len(matrix)):
                 count, lo = np.maximum(size - n + 1, 0), at[:-1]
                 for k in range(kinds):
                     upto = np.zeros(len(ids) + 1)
@@ -104,10 +120,11 @@ def _scored(batches: Iterator[pa.RecordBatch], model: tuple[list[str], np.ndarra
             logp -= logp.max(axis=1, keepdims=True)
             best = logp.argmax(axis=1)
             p = 1 / np.exp(logp).sum(axis=1)
-            data = raw.tobytes()
-            for i in range(b.num_rows):
-                if size[i] and _LETTER.search(data[off[i] : off[i + 1]].decode("utf-8", "replace")):
-                    pred[i], score[i] = names[best[i]], p[i]
+            letters = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(_fold()[1][points], out=letters[1:])
+            some = letters[off[1:]] > letters[off[:-1]]
+            for i in np.flatnonzero(some):
+                pred[i], score[i] = names[best[i]], p[i]
         yield b, pred, score
 
 
