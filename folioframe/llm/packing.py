@@ -9,8 +9,11 @@ same pattern is repeated as often as the counts allow.  Pieces then find their
 place by their rank among the pieces of the same length, in one pass.
 
 Defined results: null and empty texts give a document of the end token alone;
-an empty table gives no pieces; repeated rows are packed each on its own
-(``start`` counts within the row); extra columns are ignored.
+a text of any length is tokenised whole, by its words; an empty table gives no
+pieces; repeated rows and rows without an id are packed each on its own
+(``start`` counts within the row); pieces of one length are interchangeable and
+ordered by id and start, so ties move no padding; extra columns of any name are
+ignored by ``tokenized`` and pass through ``pack``.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from folioframe.llm import store, textnp
 
 WINDOW, END = 4096, 2
 CACHE_WORDS = 300_000
+PER_SALT = 100_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _cache: dict[str, "_Words"] = {}
 
@@ -199,39 +203,41 @@ def _plan(counts: dict[int, int], window: int) -> list[np.ndarray]:
     return [table[:, 0] << 44 | table[:, 1], *table[:, 1:].T]
 
 
-def pack(pieces: DataFrame, window: int = WINDOW, salts: int = 64) -> DataFrame:
-    """``pieces`` (doc_id, start, length and any others) with sequence_id and offset.
+def pack(pieces: DataFrame, window: int = WINDOW, per_salt: int = PER_SALT) -> DataFrame:
+    """``pieces`` (doc_id, start, length, doc_tokens and any others) with sequence_id and offset.
 
-    Lengths are at most ``window``, so the histogram that goes to the driver has
-    at most ``window * salts`` rows and the broadcast plan a few for each length
-    (bounds that don't depend on the corpus).  Ranks are counted within
-    (length, salt), so that a length which many pieces share is split.
+    Lengths are at most ``window``, so their histogram and the broadcast plan
+    have a bound that doesn't depend on the corpus.  Ranks are counted within
+    (length, salt), about ``per_salt`` pieces each, so that a length which many
+    pieces share is split; the driver sees one number for each such part.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    base: dict[tuple[int, int], int] = {}
-    counts: dict[int, int] = {}
-    for row in salted.groupBy("length", "_salt").count().orderBy("length", "_salt").collect():
-        base[row["length"], row["_salt"]] = counts.get(row["length"], 0)
-        counts[row["length"]] = counts.get(row["length"], 0) + row["count"]
-    grid = np.zeros((window + 1, salts), np.int64)
-    for (length, salt), n in base.items():
-        grid[length, salt] = n
-    plan = spark.sparkContext.broadcast((grid, _plan(counts, window)))
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    salts = [max(1, -(-total.get(k, 0) // per_salt)) for k in range(window + 1)]
+    lead = np.append(0, np.cumsum(salts))
+    salt, rank_ = store.free("_salt", pieces.columns), store.free("_rank", pieces.columns)
+    of = F.get(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), of).cast("int"))
+    grid = np.zeros(lead[-1], np.int64)
+    for row in salted.groupBy("length", salt).count().collect():
+        grid[lead[row["length"]] + row[salt]] = row["count"]
+    first = np.cumsum(grid) - grid
+    first -= np.repeat(first[lead[:-1]], salts)
+    plan = spark.sparkContext.broadcast((lead, first, _plan(total, window)))
 
     from pyspark.sql import Window
 
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")) - 1)
+    ranked = salted.withColumn(rank_, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "start")) - 1)
     names = pieces.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, (key, rank0, each, sequence, offset) = plan.value
+        lead, first, (key, rank0, each, sequence, offset) = plan.value
         for b in batches:
             if not b.num_rows:
                 continue
             length = b.column("length").to_numpy()
-            rank = b.column("_rank").to_numpy() + first[length, b.column("_salt").to_numpy()]
+            rank = b.column(rank_).to_numpy() + first[lead[length] + b.column(salt).to_numpy()]
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             step, place = np.divmod(rank - rank0[at], each[at])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence[at] + step), pa.array(offset[at] + place * length)], [*names, "sequence_id", "offset"])
