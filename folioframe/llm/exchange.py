@@ -1,10 +1,14 @@
 """Sorted fingerprint blobs between chunks of documents and buckets of hashes.
 
-Documents are dealt by a hash of their id into chunks.  A chunk sends, for each
+Rows are dealt by a hash of id and text into chunks.  A chunk sends, for each
 bucket of the hash space, one row: its sorted fingerprints (differences in
 bytes) and what goes with them.  Buckets merge the rows of all chunks and send
 one answer per chunk and bucket back; the chunk, which finds the same order
 again, applies it.  Rows stay few and small, no hash makes a row of its own.
+
+The numbers of chunks and buckets follow the input's bytes, so that neither a
+chunk's text nor what meets in a bucket grows with the corpus; the rows between
+them are chunks x buckets.
 """
 
 from __future__ import annotations
@@ -39,10 +43,25 @@ def unpack_plain(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
-def dealt(docs: DataFrame, *extra: str, per_part: int = 2) -> DataFrame:
-    """doc_id, text, extra columns and their chunk, in as many partitions as the session shuffles to."""
-    n = store.parts(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n * per_part)).cast("int")).repartition(n, "chunk")
+#: Bytes of text in a chunk, and of text behind a bucket's fingerprints.
+CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 48 << 20
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def counts(docs: DataFrame, size: int, per_part: int = 2) -> tuple[int, int]:
+    """Chunks and buckets for texts of that many bytes: at least the session's shuffle partitions."""
+    least = store.parts(docs.sparkSession)
+    return max(least * per_part, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
+
+
+def dealt(docs: DataFrame, chunks: int, *extra: str, per_part: int = 2) -> DataFrame:
+    """doc_id, text, extra columns and their chunk; per_part chunks to a partition."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(-(-chunks // per_part), "chunk")
 
 
 def cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:

@@ -11,22 +11,29 @@ Each document picks the l of the least estimated cost: looking up its prefix
 
 Where at most ``LONG`` documents share a prefix shingle, every two of them are
 counted and verified when they share enough.  Longer lists would make a
-candidate of every pair of a group of near copies, so their documents are
-dealt into blocks around each list's most central document, and every two
-blocks that meet in a list are joined by counting in one task, which returns
-only the links that connect something new.  Large blocks are split by hash.
-Nothing is capped: a pair that the prefixes allow is verified in either way.
+candidate of every pair of a group of near copies.  Each of their documents is
+verified with the most central document of its longest-shared list first; two
+documents that are linked with the same centre need no look at each other.  All
+others are dealt into blocks around these centres, linked ones apart, and every
+two blocks that meet in a list are joined by counting in one task, unless both
+hold linked documents of one centre; a task returns only the links that connect
+something new.  Blocks are split by documents and by shingles.  Nothing is
+capped: a pair that the prefixes allow is verified or already connected.
 
 Rows are told apart by a key of id and text, which null ids have too; ids only
-name the classes and components that are found by it.
+name the classes and components that are found by it.  Classes and components
+that hold a thousandth of the rows, a thousand at most, are looked up by
+broadcast, so that no task gets all copies of one text.
 
 Defined results: texts without words (null, empty) have an empty set, linked
 with nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows without an id are joined like others, never name a class or
-component that has a row with one, and leave the name null where there is no
-such row; rows that share an id share a component in ``join``, but are apart in
-``survivors`` unless their texts are alike; of repeated rows one survives;
-empty tables give empty results; extra columns are ignored.
+shingle; texts of any length are shingled whole; ties in frequency are ordered
+by the shingle's hash, and ties between names go to the least id; rows without
+an id are joined like others, never name a class or component that has a row
+with one, and leave the name null where there is no such row; rows that share
+an id share a component in ``join``, but are apart in ``survivors`` unless
+their texts are alike; of repeated rows one survives; empty tables give empty
+results; extra columns of any name are ignored, or pass through ``survivors``.
 """
 
 from __future__ import annotations
@@ -38,9 +45,11 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import store, textnp
 from folioframe.llm.components import components
-from folioframe.llm.exchange import cuts, dealt, pack_plain, pack_sorted, unpack_plain, unpack_sorted
+from folioframe.llm.exchange import counts, cuts, dealt, pack_plain, pack_sorted, text_bytes, unpack_plain, unpack_sorted
 
 LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 256
+HOT = 1000  # a key with a share of one in HOT of the rows is hot, so there are at most HOT such keys
+SHINGLES = 1 << 20  # in a block or a part, so that a task's texts stay small
 _PRINT = 40
 INFO = "doc_id long, id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
 
@@ -66,18 +75,13 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def row_key() -> Column:
-    """A key of id and text; null ids and null texts have one too."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text")
-
-
 def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """INFO of each row (doc_id, id, text): set size, two sums that stand for the set, l, and the prefix shingles that more than one document has, with their levels."""
-    buckets = store.parts(docs.sparkSession)
+    chunks, buckets = counts(docs, text_bytes(docs))
 
     def prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.unique(h >> np.uint64(64 - _PRINT), return_inverse=True, return_counts=True)
@@ -104,8 +108,8 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             table = _ordered(left)
             h, edge = shingle_sets(*textnp.buffer_of(table.column("text").combine_chunks()), width)
             _, of, _ = prints(h)
-            counts = [unpack_plain(r["counts"], "<u4") for r in sorted(right.to_pylist(), key=lambda r: r["bucket"])]
-            df = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64)[of]
+            known = [unpack_plain(r["counts"], "<u4") for r in sorted(right.to_pylist(), key=lambda r: r["bucket"])]
+            df = np.concatenate([*known, np.zeros(0, np.uint32)]).astype(np.int64)[of]
             second = textnp.mix(h + np.uint64(77))
             for doc, name, a, b in zip(table.column("doc_id").to_pylist(), table.column("id").to_pylist(), edge[:-1], edge[1:], strict=True):
                 n = int(b - a)
@@ -126,24 +130,34 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "id", "n", "k1", "k2", "own", "l", "tokens", "levels"])
 
-    base = dealt(docs, "id")
-    counted = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, prints binary, counts binary").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary")
+    base = dealt(docs, chunks, "id")
+    sent = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, prints binary, counts binary")
+    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary").repartition(-(-chunks // 2), "chunk")
     return base.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(apply, INFO)
 
 
 SAME = ["n", "k1", "k2", "lone"]
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with table, whose keys are distinct and whose column ``rows`` says how many of the total rows have each: hot keys by broadcast, so that their rows stay where they are."""
+    hot = F.col("rows") * HOT >= total
+    few, rest = F.broadcast(table.where(hot).drop("rows")), table.where(~hot).drop("rows")
+    others = rows.join(few.select(*keys), keys, "left_anti").join(rest, keys)
+    return rows.join(few, keys).unionByName(others)
+
+
 def groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """INFO of each row by its key, and of each class (SAME) its least row (best: none, id, key), that of its component (least) and the component's root.
 
     by_id: rows that share an id are linked too.
     """
-    docs = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
-    info = store.save(prefixes(docs, width, percent), "prefixes", large=True)
+    docs = docs.select(store.row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
+    info = store.save(prefixes(docs, width, percent), "prefixes")
     info = info.withColumn("lone", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(0))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("key")))
-    classes = store.save(info.groupBy(*SAME).agg(F.min("doc_id").alias("class"), best.alias("best")), "classes")
+    classes = store.save(info.groupBy(*SAME).agg(F.min("doc_id").alias("class"), best.alias("best"), F.count("*").alias("rows")), "classes")
+    total = info.count()
     lists = (
         info.join(classes.where("n > 0").select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "n", "own", "l", F.explode(F.arrays_zip("tokens", "levels")).alias("t"))
@@ -161,53 +175,68 @@ def groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[Data
         one.join(two, "token")
         .where((F.col("doc_id1") < F.col("doc_id2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (F.greatest("level1", "level2") <= matches))
         .groupBy(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
-        .agg(F.count("*").alias("c"), F.min(matches).alias("l"))
+        .agg(F.count("*").alias("c"), F.min(matches).alias("l"), F.max("n2").alias("n"))
         .where("c >= l")
-        .select("a", "b")
+        .select("a", "b", "n")
     )
-    asked = partners(store.save(pairs, "pairs")).union(blocks(lists.where(F.col("k") > LONG)))
-    found = links(docs, asked, width, percent)
+    long = lists.where(F.col("k") > LONG)
+    home = long.groupBy("doc_id", "centre").agg(F.count("*").alias("c"), F.max("n").alias("n")).groupBy("doc_id").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"), F.max("n").alias("n"))
+    home = store.save(home, "home")
+    first = store.save(pairs.union(home.where("doc_id <> centre").select("centre", "doc_id", "n")), "pairs")
+    found = store.save(links(docs, partners(first), width, percent), "links")
+    found = found.union(links(docs, blocks(long.select("token", "doc_id"), home, found), width, percent))
     if by_id:
-        named = info.where("id IS NOT NULL").join(classes, SAME).select("id", "class").distinct()
+        names = looked_up(info.where("id IS NOT NULL"), classes.select(*SAME, "class", "rows"), SAME, total)
+        named = names.select("id", "class").distinct()
         several = named.groupBy("id").agg(F.min("class").alias("a"), F.count("*").alias("c")).where("c > 1").select("id", "a")
         found = found.union(named.join(several, "id").where("class <> a").select("a", F.col("class").alias("b")))
-    of = classes.join(components(found), F.col("class") == F.col("id"), "left").select(*SAME, "best", F.coalesce("root", "class").alias("root"))
-    return info, of.join(of.groupBy("root").agg(F.min("best").alias("least")), "root")
+    of = classes.join(components(found), F.col("class") == F.col("id"), "left").select(*SAME, "best", F.col("rows").alias("of_class"), F.coalesce("root", "class").alias("root"))
+    of = store.save(of, "rooted")
+    roots = of.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("rows"))
+    return info, looked_up(of, store.save(roots, "roots"), ["root"], total).withColumnRenamed("of_class", "rows")
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable by links) of each row."""
     info, of = groups(docs, width, percent, by_id=True)
-    return info.join(of, SAME).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("best.id").alias("class_id"), F.col("least.id").alias("component_id"))
+    return looked_up(info, of, SAME, info.count()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("best.id").alias("class_id"), F.col("least.id").alias("component_id"))
 
 
 def survivors(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row of each component of docs, whole: that of the least id, a row without an id only where none has one."""
     _, of = groups(docs, width, percent, by_id=False)
     keys = store.save(of.select(F.col("least.key").alias("_key")).distinct(), "survivors")
-    return docs.withColumn("_key", row_key()).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    name = store.free("_key", docs.columns)
+    chosen = docs.withColumn(name, store.row_key()).join(keys.withColumnRenamed("_key", name), name, "left_semi")
+    return chosen.dropDuplicates([name]).drop(name)
 
 
 def partners(pairs: DataFrame) -> DataFrame:
-    """Tasks (kind, x, y, side, doc_id) that join each a of pairs (a, b) with its partners; many partners are split, each part with a copy of a."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("_g"))
+    """Tasks (kind, x, y, side, doc_id) that join each a of pairs (a, b, n: shingles of b) with its partners; many partners are split, each part with a copy of a."""
+    parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).alias("_g"))
     member = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_g")).alias("y"))
     head = member.select("a", "y").distinct()
     return head.select(F.lit(0).alias("kind"), F.col("a").alias("x"), "y", F.lit(0).alias("side"), F.col("a").alias("doc_id")).union(member.select(F.lit(0), "a", "y", F.lit(1), "b"))
 
 
-def blocks(lists: DataFrame) -> DataFrame:
-    """Tasks (kind, x, y, side, doc_id) that join the documents of every two blocks that meet in a token of lists (token, doc_id, centre)."""
-    home = lists.groupBy("doc_id", "centre").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
-    sizes = home.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
-    home = home.join(sizes, "centre").select("doc_id", F.xxhash64("centre", F.pmod(F.xxhash64("doc_id"), F.col("_b"))).alias("block"))
-    home = store.save(home, "home")
-    met = lists.select("token", "doc_id").join(home, "doc_id").select("token", "block").distinct()
-    meet = met.join(met.select("token", F.col("block").alias("block2")), "token").where("block <= block2").select("block", "block2").distinct()
-    meet = store.save(meet, "meet")
+def blocks(lists: DataFrame, home: DataFrame, found: DataFrame) -> DataFrame:
+    """Tasks (kind, x, y, side, doc_id) that join the documents of every two blocks that meet in a token of lists (token, doc_id).
+
+    home: the centre of each document (doc_id, centre, n); found: links (a, b),
+    of which those with the centre set a document apart from the unlinked ones.
+    """
+    star = found.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.lit(True).alias("linked")).distinct()
+    home = home.join(star, ["centre", "doc_id"], "left").withColumn("linked", F.coalesce("linked", F.col("doc_id") == F.col("centre")))
+    sizes = home.groupBy("centre", "linked").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("_b"))
+    home = home.join(sizes, ["centre", "linked"]).select("doc_id", "centre", "linked", F.xxhash64("centre", "linked", F.pmod(F.xxhash64("doc_id"), F.col("_b"))).alias("block"))
+    home = store.save(home, "blocks")
+    met = lists.join(home, "doc_id").select("token", "block", "centre", "linked").distinct()
+    other = met.select("token", F.col("block").alias("block2"), F.col("centre").alias("centre2"), F.col("linked").alias("linked2"))
+    meet = met.join(other, "token").where((F.col("block") <= F.col("block2")) & ~(F.col("linked") & F.col("linked2") & (F.col("centre") == F.col("centre2"))))
+    meet = store.save(meet.select("block", "block2").distinct(), "meet")
     first = meet.select(F.col("block").alias("x"), F.col("block2").alias("y"), F.lit(0).alias("side"), "block")
     second = meet.where("block <> block2").select("block", "block2", F.lit(1), "block2")
-    return home.join(first.union(second), "block").select(F.lit(1).alias("kind"), "x", "y", "side", "doc_id")
+    return home.select("doc_id", "block").join(first.union(second), "block").select(F.lit(1).alias("kind"), "x", "y", "side", "doc_id")
 
 
 def links(docs: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:

@@ -10,44 +10,46 @@ _WORD = "[^\\x20\\x09-\\x0D]"
 def line_dedup_sql() -> str:
     k = line_dedup
     return f"""
-WITH l AS (
-  SELECT doc_id, pos, line,
+WITH src AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS k, doc_id, text FROM documents
+), l AS (
+  SELECT r, k, pos, line,
          CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_replace(line, '{_WORD}*[0-9]{_WORD}*', '<*>', 'g') ELSE line END AS m
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)
+  FROM (SELECT r, k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM src WHERE text IS NOT NULL)
 ), w AS (SELECT * FROM l WHERE regexp_matches(line, '{_WORD}')
-), d AS (SELECT m, count(DISTINCT doc_id) AS docs, regexp_extract_all(m, '{_WORD}+') AS t FROM w GROUP BY m
+), d AS (SELECT m, count(DISTINCT k) AS docs, regexp_extract_all(m, '{_WORD}+') AS t FROM w GROUP BY m
 ), f AS (SELECT *, (len(t), {", ".join(f"coalesce(t[{i + 1}], '')" for i in range(k.DEPTH))}) AS leaf FROM d
-), r AS (SELECT *, sum(docs) OVER (PARTITION BY leaf) AS n, count(*) OVER (PARTITION BY leaf) AS kinds FROM f
-), x AS (SELECT leaf, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM r WHERE n >= {k.MIN_DOCS} AND kinds > 1
+), n AS (SELECT *, sum(docs) OVER (PARTITION BY leaf) AS n, count(*) OVER (PARTITION BY leaf) AS kinds FROM f
+), x AS (SELECT leaf, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM n WHERE n >= {k.MIN_DOCS} AND kinds > 1
 ), y AS (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos, token) >= {k.MIN_DOCS} AS same FROM x
 ), s AS (SELECT leaf, m, string_agg(CASE WHEN same THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS shape FROM y GROUP BY leaf, m
          HAVING 100 * count(*) FILTER (WHERE same) >= {k.SIMILAR} * count(*)
-), z AS (SELECT r.m, r.leaf, coalesce(s.shape, array_to_string(r.t, ' ')) AS shape FROM r LEFT JOIN s ON r.leaf = s.leaf AND r.m = s.m WHERE r.n >= {k.MIN_DOCS}
-), h AS (SELECT w.doc_id, w.pos, z.leaf, z.shape FROM w JOIN z ON w.m = z.m
-), q AS (SELECT leaf, shape, min(doc_id) AS first FROM h GROUP BY leaf, shape HAVING count(DISTINCT doc_id) >= {k.MIN_DOCS}
-), g AS (SELECT DISTINCT h.doc_id, h.pos FROM h JOIN q ON h.leaf = q.leaf AND h.shape = q.shape WHERE h.doc_id <> q.first
-), o AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept
-         FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(o.kept, '') END AS kept
-FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id"""
+), z AS (SELECT n.m, n.leaf, coalesce(s.shape, array_to_string(n.t, ' ')) AS shape FROM n LEFT JOIN s ON n.leaf = s.leaf AND n.m = s.m WHERE n.n >= {k.MIN_DOCS}
+), h AS (SELECT w.r, w.k, w.pos, z.leaf, z.shape FROM w JOIN z ON w.m = z.m
+), q AS (SELECT leaf, shape, min(k) AS first FROM h GROUP BY leaf, shape HAVING count(DISTINCT k) >= {k.MIN_DOCS}
+), g AS (SELECT DISTINCT h.r, h.pos FROM h JOIN q ON h.leaf = q.leaf AND h.shape = q.shape WHERE h.k <> q.first
+), o AS (SELECT l.r, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept
+         FROM l LEFT JOIN g ON l.r = g.r AND l.pos = g.pos GROUP BY l.r)
+SELECT src.doc_id, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_dropped, 0) AS n_dropped, CASE WHEN src.text IS NOT NULL THEN coalesce(o.kept, '') END AS kept
+FROM src LEFT JOIN o ON src.r = o.r"""
 
 
 def license_scan_sql() -> str:
-    known = ", ".join(f"('{s}', '{k}')" for s, k in license_scan.known().items())
-    rules = ", ".join(f"({i}, '{name}', '|{'|'.join(ids)}|')" for i, (name, ids) in enumerate(license_scan.RULES))
-    read = lambda text: f"""
-  SELECT doc_id, count(k.id) AS n, coalesce(string_agg(k.id, '|' ORDER BY pos), '') AS ids FROM (
-    SELECT doc_id, trim(regexp_replace(lower(unnest(parts)), '[^a-z0-9]+', ' ', 'g')) AS s, generate_subscripts(parts, 1) AS pos
-    FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace({text}, '[.!?]+([ \\t\\r\\n])', chr(1) || '\\1', 'g'), '[.!?]+$', '') , chr(1)) AS parts FROM documents)
-  ) JOIN known k ON k.s = s.s GROUP BY doc_id""".replace(") JOIN known", ") s JOIN known")
+    k = license_scan
+    known = ", ".join(f"('{s}', '{i}')" for s, i in k.known().items())
+    names = ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(k.rules()))
+    left = "'|' || string_agg(id, '||' ORDER BY pos) || '|'"
+    for i, (_, sequence) in enumerate(k.rules()):
+        left = f"replace({left}, '|{k.MARK.join(sequence)}|', '<{i}>')"
     return f"""
-WITH known(s, id) AS (VALUES {known}), rules(i, name, ids) AS (VALUES {rules}),
-a AS ({read("replace(text, chr(10), ' ' || chr(1) || chr(10))")}), b AS ({read("text")}),
-f AS (SELECT d.doc_id, CASE WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN b.ids ELSE coalesce(a.ids, '') END AS ids
-      FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id),
-m AS (SELECT doc_id, string_agg(name, '|' ORDER BY i) AS licenses FROM (
-        SELECT doc_id, name, min(i) AS i FROM f JOIN rules ON contains('|' || f.ids || '|', rules.ids) GROUP BY doc_id, name) GROUP BY doc_id)
-SELECT f.doc_id, f.ids AS identifiers, coalesce(m.licenses, '') AS licenses FROM f LEFT JOIN m ON m.doc_id = f.doc_id"""
+WITH known(s, id) AS (VALUES {known}), rules(i, name) AS (VALUES {names}),
+t AS (SELECT doc_id, regexp_replace('|' || regexp_replace(regexp_replace(translate(text, '{k.UPPER}', '{k.LOWER}'), '{k.CUT}', '|', 'g'), '{k.OTHER}', ' ', 'g') || '|', '{k.GAP}', '{k.MARK}', 'g') AS s FROM documents),
+h AS (SELECT doc_id, regexp_extract_all(s, '{k.pattern()}') AS h FROM t),
+u AS (SELECT doc_id, trim(regexp_replace(unnest(h), '[ |]+', ' ', 'g')) AS s, generate_subscripts(h, 1) AS pos FROM h),
+f AS (SELECT doc_id, string_agg(id, '|' ORDER BY pos) AS ids, {left} AS rest FROM u JOIN known ON known.s = u.s GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(unnest(n) AS INTEGER) AS i, generate_subscripts(n, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(rest, '<([0-9]+)>', 1) AS n FROM f)),
+m AS (SELECT doc_id, string_agg(name, '|' ORDER BY pos) AS licenses FROM (SELECT doc_id, name, min(pos) AS pos FROM r JOIN rules ON r.i = rules.i GROUP BY doc_id, name) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(f.ids, '') AS identifiers, coalesce(m.licenses, '') AS licenses
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 
 def decontamination_sql() -> str:

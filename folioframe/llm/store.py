@@ -1,67 +1,109 @@
 """Intermediate tables in the folder that the cluster shares.
 
-``scratch`` takes ``spark.checkpoint.dir`` from the session; only where it is
-unset (tests, a laptop) a folder of its own is made and set.  ``save`` writes a
+``scratch`` is a folder of this application under ``spark.checkpoint.dir``;
+only on a local master may that setting be missing (tests, a laptop), where a
+folder of its own is made and removed with the process.  ``save`` writes a
 DataFrame there and reads it back: lineage ends at files that outlive any
-executor, and the shuffles behind it can be cleaned up.
+executor, and Spark deletes the shuffle files behind it when the write ends.
+
+A table belongs to the ``Scope`` in whose ``with`` block it was saved and is
+deleted by that scope alone; tables saved outside of any scope stay until
+``clear`` removes the application's folder, as a DataFrame that was returned
+may still be read.
 """
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[Scope] = []
+
+
+class Scope:
+    """An owner of saved tables: ``with scope:`` records what save writes, ``drop`` deletes it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scopes.remove(self)
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete the scope's tables but for the last ``keep``; only once nothing that reads them is to run."""
+        for path in self.paths[: len(self.paths) - keep]:
+            _delete(self.spark, path)
+        self.paths = self.paths[len(self.paths) - keep :]
 
-_written: list[str] = []
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("folioframe.scratch.dir", None)
+    """The application's folder for intermediate tables."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("folioframe.scratch.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="folioframe-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        top = "file://" + made
         spark.conf.set("folioframe.scratch.dir", top)
-        spark.sparkContext.setCheckpointDir(top)
-    return top
-
+        sc.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/folioframe-{sc.applicationId}"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Like save, but the table isn't deleted by release."""
-    out = save(df, name)
-    _written.pop()
-    return out
 
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application."""
+    _delete(spark, scratch(spark))
 
-def save(df: DataFrame, name: str, partitions: list[str] | None = None, large: bool = False) -> DataFrame:
-    """df written under the shared folder and read back; its schema is kept.
 
-    large: wait for the shuffle files behind it to go, which takes two
-    collections as Python's references to the plans go first.
-    """
+def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
+    """df written to the scratch folder and read back; its schema is kept."""
     spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partitions)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    for _ in range(1 + large):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5 * large)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all tables that save has written; only for callers that have written out what was made of them."""
-    for path in _written:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written.clear()
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].paths.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partitions)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions that the cluster asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, or with as many underscores before it as it takes to differ from all taken names (case ignored)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key() -> Column:
+    """A key of id and text; null ids and null texts have one too."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text")

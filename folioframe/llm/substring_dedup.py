@@ -2,20 +2,22 @@
 
 The index is a list of immutable runs.  A run holds, for each bucket of the
 hash space, the sorted 48-bit fingerprints of all windows of a batch, each
-with check bits of an independent hash.  A new batch sends its own sorted
+with 32 check bits of an independent hash.  A new batch sends its own sorted
 fingerprints to the buckets, where they are merge-joined with all runs; a
-match counts once the check bits agree too (64 bits in all by default;
-``check="<u4"`` makes it 80, as ``dedup`` does).  The batch's new fingerprints become a run, and
-runs are compacted into one when there are more than ``fan_in``.
+match counts once the check bits agree too, 80 bits in all.  The batch's new
+fingerprints become a run, and runs are compacted into one when there are more
+than ``fan_in``.  With a ``path`` the runs and a list of them stay there, and
+``SubstringIndex.open`` goes on with them in another session.
 
 A window is removed if it starts in an earlier batch or, within the batch, in
 a document with a smaller id.  Batches must come in the order that decides
 which copy stays.  Windows are judged on the input, not on what is left.
 
 Defined results: null and empty texts have no words; texts shorter than the
-window lose nothing; rows without an id count as last and never own a window
-against a row with one; rows with equal ids don't remove each other's words;
-empty tables give empty results; extra columns are ignored.
+window lose nothing; a text of any length stands in one chunk, whole; rows
+without an id count as last and never own a window against a row with one; rows
+with equal ids, repeated or not, don't remove each other's words; ties need no
+order; empty tables give empty results; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import store, textnp
-from folioframe.llm.exchange import cuts, dealt, pack_plain, pack_sorted, unpack_plain, unpack_sorted
+from folioframe.llm.exchange import BUCKET_BYTES, counts, cuts, dealt, pack_plain, pack_sorted, text_bytes, unpack_plain, unpack_sorted
 
 WINDOW, BITS = 13, 48
 _SIGN = np.uint64(1 << 63)
@@ -82,25 +84,58 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 class SubstringIndex:
-    """Historical windows of ``width`` words, and the removal of those that a new batch repeats."""
+    """Historical windows of ``width`` words, and the removal of those that a new batch repeats.
 
-    def __init__(self, spark: SparkSession, width: int = WINDOW, check: str = "<u2", fan_in: int = 4) -> None:
-        self.spark, self.width, self.check, self.fan_in = spark, width, check, fan_in
-        self.buckets = store.parts(spark)
-        self.runs: list[DataFrame] = []
+    size: bytes of text that the index is to hold in all, by which its buckets are counted.
+    """
 
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """doc_id, n_words, n_removed and kept (the text's other words, joined by a blank) of each row of the batch; keep: its windows join the index."""
+    def __init__(self, spark: SparkSession, width: int = WINDOW, check: str = "<u4", fan_in: int = 4, size: int = 0, path: str | None = None) -> None:
+        self.spark, self.width, self.check, self.fan_in, self.path = spark, width, check, fan_in, path
+        self.buckets = max(store.parts(spark), -(-size // BUCKET_BYTES))
+        self.runs: list[DataFrame] = []
+        self.names: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
+        """The index that an earlier session left at path."""
+        last = spark.read.schema("version int, width int, check string, fan_in int, buckets int, names array<string>").parquet(f"{path}/index").orderBy(F.desc("version")).first()
+        index = cls(spark, last["width"], last["check"], last["fan_in"], path=path)
+        index.buckets, index.version, index.names = last["buckets"], last["version"], list(last["names"])
+        index.runs = [spark.read.schema(ROW).parquet(f"{path}/{name}") for name in index.names]
+        return index
+
+    def _keep(self, runs: list[DataFrame], added: DataFrame) -> None:
+        """runs and one more are the index now; at a path the list is appended to once the run is written, so a lost write leaves the old one."""
+        self.version += 1
+        names = self.names[: len(runs)]
+        if self.path:
+            names.append(f"run-{self.version}")
+            added.write.mode("overwrite").parquet(f"{self.path}/{names[-1]}")
+            added = self.spark.read.schema(ROW).parquet(f"{self.path}/{names[-1]}")
+            state = [(self.version, self.width, self.check, self.fan_in, self.buckets, names)]
+            self.spark.createDataFrame(state, "version int, width int, check string, fan_in int, buckets int, names array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/index")
+        self.names, self.runs = names, [*runs, added]
+
+    def add(self, docs: DataFrame, keep: bool = True, size: int | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed and kept (the text's other words, joined by a blank) of each row of the batch; keep: its windows join the index; size: bytes of its text, counted where not given."""
         width, check, buckets = self.width, self.check, self.buckets
+        chunks, _ = counts(docs, text_bytes(docs) if size is None else size)
 
         def send(table: pa.Table) -> pa.Table:
             c = _Chunk(table, width)
             c.group(check)
             prints, checks, owner = c.prints[c.first], c.checks[c.first], c.owner[c.first]
             edge = cuts(prints, buckets, BITS)
-            ids = pack_sorted(c.ids.astype(np.uint64) ^ _SIGN)
+            ids = c.ids.astype(np.uint64) ^ _SIGN
+            packed = pack_sorted(ids)
             chunk = table.column("chunk")[0].as_py()
-            return _table([_row(0, k, chunk, int(b - a), pack_sorted(prints[a:b]), pack_plain(checks[a:b], check), pack_plain(owner[a:b], "<u4"), ids) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a])
+            rows = []
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if b > a:  # ids go along once, or each with its window where those are fewer
+                    own = (pack_plain(owner[a:b], "<u4"), packed) if b - a > len(ids) else (pack_plain(ids[owner[a:b]], "<u8"), b"")
+                    rows.append(_row(0, k, chunk, int(b - a), pack_sorted(prints[a:b]), pack_plain(checks[a:b], check), *own))
+            return _table(rows)
 
         def merge(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
@@ -114,7 +149,7 @@ class SubstringIndex:
             history = sum(r["n"] for r in old)
             owner = [np.zeros(history, np.uint64)]
             for r in fresh:
-                owner.append(unpack_sorted(r["ids"])[unpack_plain(r["owners"], "<u4")] + np.uint64(0))
+                owner.append(unpack_sorted(r["ids"])[unpack_plain(r["owners"], "<u4")] if r["ids"] else unpack_plain(r["owners"], "<u8"))
             owner = np.concatenate(owner)
             order = np.lexsort((checks, prints))
             new = np.ones(len(order), bool)
@@ -156,16 +191,18 @@ class SubstringIndex:
                 kept.append(b" ".join(split).decode("utf-8"))
             return pa.table([c.table.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(removed), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-        base = dealt(docs)
+        base = dealt(docs, chunks)
         sent = base.groupBy("chunk").applyInArrow(send, ROW)
         for r in self.runs:
             sent = sent.unionByName(r)
-        merged = store.save(sent.groupBy("bucket").applyInArrow(merge, ROW), "run", partitions=["kind"], large=True).select(*ROW.replace(",", "").split()[::2])
+        met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, ROW)
+        merged = store.save(met, "run", partitions=["kind"]).select(*ROW.replace(",", "").split()[::2])
         if keep:
-            self.runs.append(merged.where("kind = 1"))
+            self._keep(self.runs, merged.where("kind = 1"))
             if len(self.runs) > self.fan_in:
                 self.compact()
         answers = merged.where("kind = 2").select("chunk", "bucket", "n", "prints")
+        answers = answers.repartition(-(-chunks // 2), "chunk")
         return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
     def compact(self) -> None:
@@ -182,15 +219,15 @@ class SubstringIndex:
         every = self.runs[0]
         for r in self.runs[1:]:
             every = every.unionByName(r)
-        self.runs = [store.save(every.groupBy("bucket").applyInArrow(join, ROW), "compacted", large=True)]
+        self._keep([], store.save(every.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(join, ROW), "compacted"))
 
 
-def dedup(docs: DataFrame, batches: int = 2, width: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 4, width: int = WINDOW, fan_in: int = 2) -> DataFrame:
     """The whole table through the index in ``batches`` ranges of ids, smaller ids first."""
     docs = docs.select("doc_id", "text")
-    edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("e")).first()["e"] if batches > 1 else []
-    edges = sorted(set(edges or []))
-    index = SubstringIndex(docs.sparkSession, width, check="<u4")
+    seen = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5]).alias("e"), F.sum(F.octet_length("text")).alias("size")).first()
+    edges, size = sorted(set(seen["e"] or [])) if batches > 1 else [], int(seen["size"] or 0)
+    index = SubstringIndex(docs.sparkSession, width, fan_in=fan_in, size=size)
     out = None
     for k in range(len(edges) + 1):
         part = docs
@@ -198,6 +235,6 @@ def dedup(docs: DataFrame, batches: int = 2, width: int = WINDOW) -> DataFrame:
             part = part.where((F.col("doc_id") > edges[k - 1]) | (F.col("doc_id").isNull() if k == len(edges) else F.lit(False)))
         if k < len(edges):
             part = part.where(F.col("doc_id") <= edges[k])
-        done = index.add(part, keep=k < len(edges))
+        done = index.add(part, keep=k < len(edges), size=size // batches)
         out = done if out is None else out.unionByName(done)
     return out

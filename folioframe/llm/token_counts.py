@@ -12,8 +12,10 @@ no entry takes along is a piece of weight 0.  A word with no greedy split
 counts as one unknown token.
 
 Defined results: null and empty texts have no words and no tokens; empty
-tables give empty results; repeated rows are counted each; extra columns are
-ignored; a word of any length takes one walk.
+tables give empty results; rows are counted each, repeated or not, with or
+without an id; extra columns of any name are ignored; a word of any length
+takes one walk, and a text of any length is counted whole; of entries that tie
+in their bytes there is one, so the longest match is unique.
 """
 
 from __future__ import annotations
