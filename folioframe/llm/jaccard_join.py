@@ -44,11 +44,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import store, textnp
-from folioframe.llm.components import components
+from folioframe.llm.components import components, looked_up
 from folioframe.llm.exchange import counts, cuts, dealt, pack_plain, pack_sorted, text_bytes, unpack_plain, unpack_sorted
 
 LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 256
-HOT = 1000  # a key with a share of one in HOT of the rows is hot, so there are at most HOT such keys
 SHINGLES = 1 << 20  # in a block or a part, so that a task's texts stay small
 _PRINT = 40
 INFO = "doc_id long, id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
@@ -139,14 +138,6 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 SAME = ["n", "k1", "k2", "lone"]
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with table, whose keys are distinct and whose column ``rows`` says how many of the total rows have each: hot keys by broadcast, so that their rows stay where they are."""
-    hot = F.col("rows") * HOT >= total
-    few, rest = F.broadcast(table.where(hot).drop("rows")), table.where(~hot).drop("rows")
-    others = rows.join(few.select(*keys), keys, "left_anti").join(rest, keys)
-    return rows.join(few, keys).unionByName(others)
-
-
 def groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """INFO of each row by its key, and of each class (SAME) its least row (best: none, id, key), that of its component (least) and the component's root.
 
@@ -213,8 +204,8 @@ def survivors(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def partners(pairs: DataFrame) -> DataFrame:
     """Tasks (kind, x, y, side, doc_id) that join each a of pairs (a, b, n: shingles of b) with its partners; many partners are split, each part with a copy of a."""
-    parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).alias("_g"))
-    member = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_g")).alias("y"))
+    parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).alias("_g"), F.count("*").alias("rows"))
+    member = looked_up(pairs, store.save(parts, "parts"), ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_g")).alias("y"))
     head = member.select("a", "y").distinct()
     return head.select(F.lit(0).alias("kind"), F.col("a").alias("x"), "y", F.lit(0).alias("side"), F.col("a").alias("doc_id")).union(member.select(F.lit(0), "a", "y", F.lit(1), "b"))
 
@@ -271,5 +262,6 @@ def links(docs: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFr
                 own[np.isin(own, labels)] = own[i]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
+    asked = store.save(asked, "asked")  # a size that the planner knows: texts are shuffled only for many tasks
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(asked, "doc_id").groupBy("kind", "x", "y").applyInArrow(count, "a long, b long")
