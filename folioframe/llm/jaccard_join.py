@@ -47,7 +47,7 @@ from folioframe.llm import store, textnp
 from folioframe.llm.components import components, looked_up
 from folioframe.llm.exchange import counts, cuts, dealt, pack_plain, pack_sorted, text_bytes, unpack_plain, unpack_sorted
 
-LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 256
+LONG, BLOCK, MAX_MATCHES, VERIFY_COST, GROUP = 24, 1024, 8, 20.0, 128
 SHINGLES = 1 << 20  # in a block or a part, so that a task's texts stay small
 _PRINT = 40
 INFO = "doc_id long, id long, n long, k1 long, k2 long, own long, l int, tokens array<long>, levels array<int>"
@@ -174,7 +174,7 @@ def groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[Data
     home = long.groupBy("doc_id", "centre").agg(F.count("*").alias("c"), F.max("n").alias("n")).groupBy("doc_id").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"), F.max("n").alias("n"))
     home = store.save(home, "home")
     first = store.save(pairs.union(home.where("doc_id <> centre").select("centre", "doc_id", "n")), "pairs")
-    found = store.save(links(docs, partners(first), width, percent), "links")
+    found = store.save(links(docs, partners(first), width, percent, many=True), "links")
     found = found.union(links(docs, blocks(long.select("token", "doc_id"), home, found), width, percent))
     if by_id:
         names = looked_up(info.where("id IS NOT NULL"), classes.select(*SAME, "class", "rows"), SAME, total)
@@ -230,10 +230,11 @@ def blocks(lists: DataFrame, home: DataFrame, found: DataFrame) -> DataFrame:
     return home.select("doc_id", "block").join(first.union(second), "block").select(F.lit(1).alias("kind"), "x", "y", "side", "doc_id")
 
 
-def links(docs: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, asked: DataFrame, width: int, percent: int, many: bool = False) -> DataFrame:
     """Links that connect all pairs of percent or more between the sides of each task, or within a task of one side.
 
-    Texts are looked up once, and travel to each of their tasks.
+    Texts are looked up once, and travel to each of their tasks; many: by a
+    shuffle at any size, as most texts are asked for in a large corpus.
     """
 
     def count(table: pa.Table) -> pa.Table:
@@ -262,6 +263,8 @@ def links(docs: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFr
                 own[np.isin(own, labels)] = own[i]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    asked = store.save(asked, "asked")  # a size that the planner knows: texts are shuffled only for many tasks
+    asked = store.save(asked, "asked")  # a size that the planner knows
+    if many:
+        asked = asked.hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(asked, "doc_id").groupBy("kind", "x", "y").applyInArrow(count, "a long, b long")
