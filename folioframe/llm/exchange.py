@@ -52,16 +52,16 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def counts(docs: DataFrame, size: int, per_part: int = 2) -> tuple[int, int]:
+def counts(docs: DataFrame, size: int) -> tuple[int, int]:
     """Chunks and buckets for texts of that many bytes: at least the session's shuffle partitions."""
     least = store.parts(docs.sparkSession)
-    return max(least * per_part, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
+    return max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
 
 
-def dealt(docs: DataFrame, chunks: int, *extra: str, per_part: int = 2) -> DataFrame:
-    """doc_id, text, extra columns and their chunk; per_part chunks to a partition."""
+def dealt(docs: DataFrame, chunks: int, *extra: str) -> DataFrame:
+    """doc_id, text, extra columns and their chunk, in as many partitions as chunks."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(-(-chunks // per_part), "chunk")
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
 
 def cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:

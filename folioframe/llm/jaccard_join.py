@@ -131,7 +131,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     base = dealt(docs, chunks, "id")
     sent = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, prints binary, counts binary")
-    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary").repartition(-(-chunks // 2), "chunk")
+    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "chunk int, bucket int, counts binary").repartition(chunks, "chunk")
     return base.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(apply, INFO)
 
 

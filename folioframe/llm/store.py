@@ -42,11 +42,11 @@ class Scope:
     def drop(self, keep: int = 0) -> None:
         """Delete the scope's tables but for the last ``keep``; only once nothing that reads them is to run."""
         for path in self.paths[: len(self.paths) - keep]:
-            _delete(self.spark, path)
+            delete(self.spark, path)
         self.paths = self.paths[len(self.paths) - keep :]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -68,11 +68,16 @@ def scratch(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application."""
-    _delete(spark, scratch(spark))
+    delete(spark, scratch(spark))
 
 
 def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """df written to the scratch folder and read back; its schema is kept."""
+    return saved(df, name, partitions)[0]
+
+
+def saved(df: DataFrame, name: str, partitions: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Like save, and the path."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
@@ -83,7 +88,7 @@ def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataF
         df.write.option("compression", "zstd").parquet(path, partitionBy=partitions)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def parts(spark: SparkSession) -> int:

@@ -94,6 +94,7 @@ class SubstringIndex:
         self.buckets = max(store.parts(spark), -(-size // BUCKET_BYTES))
         self.runs: list[DataFrame] = []
         self.names: list[str] = []
+        self._files: list[str] = []
         self.version = 0
 
     @classmethod
@@ -196,13 +197,15 @@ class SubstringIndex:
         for r in self.runs:
             sent = sent.unionByName(r)
         met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, ROW)
-        merged = store.save(met, "run", partitions=["kind"]).select(*ROW.replace(",", "").split()[::2])
+        merged, path = store.saved(met, "run", partitions=["kind"])
+        merged = merged.select(*ROW.replace(",", "").split()[::2])
         if keep:
+            self._files.append(f"{path}/kind=1")
             self._keep(self.runs, merged.where("kind = 1"))
             if len(self.runs) > self.fan_in:
                 self.compact()
         answers = merged.where("kind = 2").select("chunk", "bucket", "n", "prints")
-        answers = answers.repartition(-(-chunks // 2), "chunk")
+        answers = answers.repartition(chunks, "chunk")
         return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
     def compact(self) -> None:
@@ -219,10 +222,14 @@ class SubstringIndex:
         every = self.runs[0]
         for r in self.runs[1:]:
             every = every.unionByName(r)
-        self._keep([], store.save(every.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(join, ROW), "compacted"))
+        run, path = store.saved(every.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(join, ROW), "compacted")
+        self._keep([], run)
+        for old in self._files:  # what it replaces; answers stand beside it
+            store.delete(self.spark, old)
+        self._files = [path]
 
 
-def dedup(docs: DataFrame, batches: int = 4, width: int = WINDOW, fan_in: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 3, width: int = WINDOW, fan_in: int = 1) -> DataFrame:
     """The whole table through the index in ``batches`` ranges of ids, smaller ids first."""
     docs = docs.select("doc_id", "text")
     seen = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5]).alias("e"), F.sum(F.octet_length("text")).alias("size")).first()
