@@ -7,8 +7,9 @@ one answer per chunk and bucket back; the chunk, which finds the same order
 again, applies it.  Rows stay few and small, no hash makes a row of its own.
 
 The numbers of chunks and buckets follow the input's bytes, so that neither a
-chunk's text nor what meets in a bucket grows with the corpus; the rows between
-them are chunks x buckets.
+chunk's text nor what meets in a bucket grows with the corpus.  The rows between
+them are chunks x buckets, some hundred windows each at a terabyte; beyond it,
+larger executors should take larger chunks.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ def unpack_plain(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
-#: Bytes of text in a chunk, and of text behind a bucket's fingerprints.
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 48 << 20
+#: Bytes of text in a chunk (``folioframe.chunk.bytes`` overrides it), and of text behind a bucket's
+#: fingerprints: a Python worker takes some 60 times the one and 10 times the other.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -55,7 +57,8 @@ def text_bytes(docs: DataFrame) -> int:
 def counts(docs: DataFrame, size: int) -> tuple[int, int]:
     """Chunks and buckets for texts of that many bytes: at least the session's shuffle partitions."""
     least = store.parts(docs.sparkSession)
-    return max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
+    chunk = int(docs.sparkSession.conf.get("folioframe.chunk.bytes", str(CHUNK_BYTES)))
+    return max(least, -(-size // chunk)), max(least, -(-size // BUCKET_BYTES))
 
 
 def dealt(docs: DataFrame, chunks: int, *extra: str) -> DataFrame:

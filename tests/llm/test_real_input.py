@@ -295,7 +295,7 @@ def test_registered_dedup_compacts(spark, monkeypatch):
 def test_exchange_grows_with_the_input(spark):
     docs = frame(spark, corpus(n=4))
     few, many = exchange.counts(docs, 1 << 20), exchange.counts(docs, 1 << 40)
-    assert few == (4, 4) and many == (1 << 15, -(-(1 << 40) // exchange.BUCKET_BYTES))
+    assert few == (4, 4) and many == (-(-(1 << 40) // exchange.CHUNK_BYTES), -(-(1 << 40) // exchange.BUCKET_BYTES))
     text = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
     assert exchange.dealt(text, 8).select("chunk").distinct().count() > 4
 
