@@ -245,8 +245,13 @@ def shear(df: DataFrame, factor: float, origin: float, axis: str = "x", outside:
 
 
 def reduce2x(bw: DataFrame, threshold: int) -> DataFrame:
-    """Half the size: black where at least threshold of the four pixels are."""
-    return bw.groupBy("img_id", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x")).agg((F.sum("bw") >= threshold).cast("int").alias("bw"))
+    """Half the size: black where at least threshold of the four pixels are; an odd line is left out.  Pixels of a single line count twice."""
+    size = Window.partitionBy("img_id")
+    df = bw.withColumn("h", F.max("y").over(size) + 1).withColumn("w", F.max("x").over(size) + 1)
+    whole = ((F.col("h") == 1) | (F.col("y") < F.expr("h div 2 * 2"))) & ((F.col("w") == 1) | (F.col("x") < F.expr("w div 2 * 2")))
+    times = F.when(F.col("h") == 1, 2).otherwise(1) * F.when(F.col("w") == 1, 2).otherwise(1)
+    df = df.where(whole).withColumn("n", F.col("bw") * times)
+    return df.groupBy("img_id", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x")).agg((F.sum("n") >= threshold).cast("int").alias("bw"))
 
 
 def upscale(df: DataFrame, times: int) -> DataFrame:
@@ -263,6 +268,21 @@ def fill(df: DataFrame, value: int, x: tuple[int, int], y: tuple[int, int], insi
     return df.select(*KEY, F.when(within if inside else ~within, value).otherwise(F.col(name)).cast("int").alias(name))
 
 
+def framed(df: DataFrame, inner: int, edge: int) -> DataFrame:
+    """A raster of the same size: inner within a frame of one pixel."""
+    size = Window.partitionBy("img_id")
+    on = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.max("x").over(size)) | (F.col("y") == F.max("y").over(size))
+    return df.select(*KEY, F.when(on, edge).otherwise(inner).alias(df.columns[3]))
+
+
+def near_border(df: DataFrame, width: Column | None = None) -> Column:
+    """Whether a pixel lies within max(5, a fiftieth of the shorter side) pixels of the edge, or width."""
+    size = Window.partitionBy("img_id")
+    h, w = F.max("y").over(size) + 1, F.max("x").over(size) + 1
+    b = F.greatest(F.lit(5), F.floor(F.least(h, w) / 50)) if width is None else width
+    return (F.col("y") < b) | (F.col("x") < b) | (F.col("y") >= h - b) | (F.col("x") >= w - b)
+
+
 # --- runs -----------------------------------------------------------------------------------------------------
 
 

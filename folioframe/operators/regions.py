@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAR = 1 << 40
+from folioframe.operators import kernels as K
+
 
 
 def dense(table: pa.Table, value: str) -> tuple[int, np.ndarray]:
@@ -36,32 +37,9 @@ def kernel(df: DataFrame, value: str, out: str, f: Callable[[np.ndarray], np.nda
     return df.groupBy("img_id").applyInArrow(run, f"img_id long, y int, x int, {out} {kind}")
 
 
-def labels(bw: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Components of black pixels, numbered from 1 by their first pixel in raster order."""
-    h, w = bw.shape
-    at = np.where(bw > 0, np.arange(h * w).reshape(h, w), FAR)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    while True:
-        new = at.copy()
-        for dy, dx in steps:
-            a = (slice(0, h - dy), slice(max(0, -dx), w - max(0, dx)))
-            b = (slice(dy, h), slice(max(0, dx), w - max(0, -dx)))
-            both = (bw[a] > 0) & (bw[b] > 0)
-            low = np.minimum(new[a], new[b])
-            new[a] = np.where(both, low, new[a])
-            new[b] = np.where(both, np.minimum(new[b], low), new[b])
-        black = new < FAR
-        new[black] = np.minimum(new[black], new.ravel()[new[black]])
-        if (new == at).all():
-            break
-        at = new
-    roots = np.unique(at[at < FAR])
-    return np.where(at < FAR, np.searchsorted(roots, at) + 1, 0)
-
-
 def components(bw: DataFrame, diagonal: bool = False) -> DataFrame:
     """img_id, y, x, label (0: white)."""
-    return kernel(bw, "bw", "label", lambda a: labels(a, diagonal))
+    return kernel(bw, "bw", "label", lambda a: K.components(a, diagonal)[0])
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -77,63 +55,34 @@ def seed_fill(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
     return labelled.join(filled, ["img_id", "label"], "left").select("img_id", "y", "x", F.coalesce("on", F.lit(0)).alias("bw"))
 
 
-def reconstruct(marker: np.ndarray, mask: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Gray reconstruction: the darker spreads from the marker, nowhere below the mask."""
-    at = np.maximum(marker, mask)
-    while True:
-        p = np.pad(at, 1, constant_values=255)
-        around = [p[1:-1, :-2], p[1:-1, 2:], p[:-2, 1:-1], p[2:, 1:-1]]
-        if diagonal:
-            around += [p[:-2, :-2], p[:-2, 2:], p[2:, :-2], p[2:, 2:]]
-        new = np.maximum(mask, np.minimum(at, np.minimum.reduce(around)))
-        if (new == at).all():
-            return at
-        at = new
-
-
-def distances(bw: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distance to the nearest white pixel, -1 where there is none: columns first, then rows."""
-    h, w = bw.shape
-    white = bw == 0
-    column = np.full((h, w), FAR)
-    rows = np.arange(h)
-    for x in range(w):
-        at = rows[white[:, x]]
-        if len(at):
-            column[:, x] = ((rows[:, None] - at[None, :]) ** 2).min(axis=1)
-    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    out = np.stack([(column + across[x]).min(axis=1) for x in range(w)], axis=1)
-    return np.where(out >= FAR, -1, out)
-
-
 def distance_map(bw: DataFrame) -> DataFrame:
-    return kernel(bw, "bw", "d2", distances, "long")
+    return kernel(bw, "bw", "d2", K.distances, "long")
 
 
 def influence(labelled: DataFrame) -> DataFrame:
-    """Label of the nearest labelled pixel, ties to the least label; 0 in an image without labels."""
-
-    def zones(a: np.ndarray) -> np.ndarray:
-        y, x = np.nonzero(a)
-        if not len(y):
-            return a
-        gy, gx = np.indices(a.shape)
-        best, out = np.full(a.shape, FAR), np.zeros_like(a)
-        for k in np.unique(a[y, x]):
-            on = a[y, x] == k
-            d = ((gy[..., None] - y[on]) ** 2 + (gx[..., None] - x[on]) ** 2).min(axis=-1)
-            out = np.where(d < best, k, out)
-            best = np.minimum(best, d)
-        return out
-
-    return kernel(labelled, "label", "zone", zones)
-
-
-def despeckle(bw: DataFrame, big: int, diagonal: bool = True) -> DataFrame:
-    """Components whose box has a side of big or more stay."""
-    labelled = components(bw, diagonal)
-    kept = component_stats(labelled).where(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1 >= big).select("img_id", "label", F.lit(1).alias("on"))
-    return labelled.join(kept, ["img_id", "label"], "left").select("img_id", "y", "x", F.coalesce("on", F.lit(0)).alias("bw"))
+    """Label of the nearest labelled pixel, of equally near ones the leftmost, then the topmost; 0 in an image without labels."""
+    return kernel(labelled, "label", "zone", K.zones)
+
+
+def reconstruct(gray: DataFrame, marker: Callable[[np.ndarray], np.ndarray], diagonal: bool = False) -> DataFrame:
+    """Gray reconstruction of each image from a marker that is made of it."""
+    return kernel(gray, "g", "g", lambda a: K.reconstructed(marker(a), a, diagonal))
+
+
+def despeckle(bw: DataFrame, dpi: int = 300, level: str = "normal") -> DataFrame:
+    """Big components, and small ones that hang on a kept one by close and comparable neighbours."""
+    return kernel(bw, "bw", "bw", lambda a: K.despeckled(a.astype(np.uint8), dpi, level))
+
+
+def big_components(bw: DataFrame, big: int, diagonal: bool = True) -> DataFrame:
+    """Components whose box has a side of big or more stay, from labels and sizes of one kernel."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        label, n = K.components(a, diagonal)
+        box = K.component_boxes(label, n)
+        return np.append(False, (box[:, 3] - box[:, 1] + 1 >= big) | (box[:, 4] - box[:, 2] + 1 >= big))[label].astype(np.int64)
+
+    return kernel(bw, "bw", "bw", run)
 
 
 def skew_scores(bw: DataFrame, slopes: list[float]) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import pixels as P
 from folioframe.sources import rasters as R
-from folioframe.sources.rasters import TILE_SQL
+from folioframe.sources.rasters import ODD_SQL, TILE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-T = f"WITH {TILE_SQL}"
+T, T8 = f"WITH {ODD_SQL}", f"WITH {TILE_SQL}"  # rasters of odd sizes, and tiles of 8 x 8 for queries that need one size
 S, HOLE = (-1, 1), ["X?", "? "]
 
 
@@ -25,10 +25,18 @@ def add(name: str, query: Query, sql: str | None) -> None:
 
 
 def gray(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: f(R.tiles(spark, d))
+    return lambda spark, d: f(R.odd_tiles(spark, d))
 
 
 def bw(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(R.bitmaps(R.odd_tiles(spark, d)))
+
+
+def gray8(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(R.tiles(spark, d))
+
+
+def bw8(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(R.bitmaps(R.tiles(spark, d)))
 
 
@@ -66,8 +74,11 @@ add("black_count", bw(lambda b: b.groupBy("img_id").agg(F.sum("bw").cast("long")
 add("content_bbox", bw(P.bounding_box), f"{T} SELECT img_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM bw WHERE bw = 1 GROUP BY img_id")
 for axis, name in (("y", "row_profile"), ("x", "col_profile")):
     add(name, bw(lambda b, axis=axis: P.profile(b, axis)), f"{T} SELECT img_id, {axis} AS pos, CAST(sum(bw) AS BIGINT) AS n FROM bw GROUP BY ALL")
+SIZED = "z AS (SELECT *, max(y) OVER (PARTITION BY img_id) + 1 AS h, max(x) OVER (PARTITION BY img_id) + 1 AS w FROM bw)"
+HALF = """SELECT img_id, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(sum(bw) * CASE WHEN max(h) = 1 THEN 2 ELSE 1 END * CASE WHEN max(w) = 1 THEN 2 ELSE 1 END >= {0} AS INTEGER) AS bw
+FROM z WHERE (h = 1 OR y + 1 < h OR h % 2 = 0) AND (w = 1 OR x + 1 < w OR w % 2 = 0) GROUP BY img_id, y // 2, x // 2"""
 for t in (1, 2, 3, 4):
-    add(f"reduce2x_t{t}", bw(lambda b, t=t: P.reduce2x(b, t)), f"{T} SELECT img_id, y // 2 AS y, x // 2 AS x, CAST(sum(bw) >= {t} AS INTEGER) AS bw FROM bw GROUP BY ALL")
+    add(f"reduce2x_t{t}", bw(lambda b, t=t: P.reduce2x(b, t)), f"{T}, {SIZED} {HALF.format(t)}")
 add("contrast_stretch", gray(lambda t: P.stretch(t, 0.05, 0.05)), f"""{T}, h AS ({HIST}), c AS (SELECT img_id, g, sum(n) OVER (PARTITION BY img_id ORDER BY g) AS up, sum(n) OVER (PARTITION BY img_id ORDER BY g DESC) AS down, sum(n) OVER (PARTITION BY img_id) AS al FROM h),
 e AS (SELECT img_id, min(CASE WHEN up > al * 0.05 THEN g END) AS lo, max(CASE WHEN down > al * 0.05 THEN g END) AS hi FROM c GROUP BY img_id)
 SELECT t.img_id, y, x, CAST(CASE WHEN hi <= lo THEN CASE WHEN g < (lo + hi) // 2 THEN 0 ELSE 255 END WHEN g <= lo THEN 0 WHEN g >= hi THEN 255 ELSE (255 * (g - lo) + (hi - lo) // 2) // greatest(hi - lo, 1) END AS INTEGER) AS g FROM tile t JOIN e ON e.img_id = t.img_id""")
@@ -113,8 +124,8 @@ add("reserve_bw", gray(lambda t: t.select(*P.KEY, F.greatest(F.lit(1), F.least(F
 add("layer_split", gray(lambda t: t.select(*P.KEY, F.when(F.col("g").isin(0, 255), "foreground").otherwise("background").alias("layer")).groupBy("img_id", "layer").agg(F.count("*").alias("n"))), f"{T} SELECT img_id, CASE WHEN g IN (0, 255) THEN 'foreground' ELSE 'background' END AS layer, count(*) AS n FROM tile GROUP BY ALL")
 add("combine_mixed", gray(lambda t: P.combine(t, R.bitmaps(P.spread(t, True, S, S), 100), F.when(F.col("b") == 1, F.when(F.col("a") < 128, 0).otherwise(255)).otherwise(F.greatest(F.lit(1), F.least(F.lit(254), "a"))), "g")), f"{T}, m AS ({sql_pass('tile', 'min', 'g', S, S, 'o', ', g')}) SELECT img_id, y, x, CASE WHEN o < 100 THEN CASE WHEN g < 128 THEN 0 ELSE 255 END ELSE greatest(1, least(254, g)) END AS g FROM m")
 # geometry
-for degrees, (y, x) in {90: ("x", "7 - y"), 180: ("7 - y", "7 - x"), 270: ("7 - x", "y")}.items():
-    add(f"rotate{degrees}", gray(lambda t, degrees=degrees: P.rotate(t, degrees)), f"{T} SELECT img_id, {y} AS y, {x} AS x, g FROM tile")
+for degrees, (y, x) in {90: ("x", "h - y"), 180: ("h - y", "w - x"), 270: ("w - x", "y")}.items():
+    add(f"rotate{degrees}", gray(lambda t, degrees=degrees: P.rotate(t, degrees)), f"{T}, z AS (SELECT *, max(y) OVER (PARTITION BY img_id) AS h, max(x) OVER (PARTITION BY img_id) AS w FROM tile) SELECT img_id, {y} AS y, {x} AS x, g FROM z")
 for axis, a, c in (("hshear", "x", "y"), ("vshear", "y", "x")):
     add(axis, bw(lambda b, a=a: P.shear(b, 0.5, 4.0, a)), f"{T}, m AS (SELECT img_id, {c}, {a} + CAST(floor(0.5 * ({c} + 0.5 - 4.0) + 0.5) AS INTEGER) AS {a}, bw FROM bw) SELECT b.img_id, b.y, b.x, coalesce(m.bw, 0) AS bw FROM bw b LEFT JOIN m ON m.img_id = b.img_id AND m.y = b.y AND m.x = b.x")
 add("upscale3", bw(lambda b: P.upscale(b, 3)), f"{T} SELECT img_id, CAST(y * 3 + dy AS INTEGER) AS y, CAST(x * 3 + dx AS INTEGER) AS x, bw FROM bw, range(3) a(dy), range(3) b(dx)")

@@ -19,7 +19,7 @@ add("peak_threshold", gray(H.peak), f"""{T}, h0 AS ({HIST}), h AS ({DENSE.format
 s AS (SELECT *, min(CASE WHEN n < u * 0.66::DOUBLE THEN g END) OVER (PARTITION BY img_id) AS stop, max(CASE WHEN n < d * 0.66::DOUBLE THEN g END) OVER (PARTITION BY img_id) AS start FROM u),
 l AS (SELECT img_id, g AS l FROM s WHERE g < coalesce(stop, 256) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY n DESC, g) = 1), r AS (SELECT img_id, g AS r FROM s WHERE g > coalesce(start, -1) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY n DESC, g DESC) = 1)
 SELECT l.img_id, CAST(floor(l + (r - l) * 0.75) AS INTEGER) AS threshold FROM l JOIN r ON r.img_id = l.img_id""")
-add("mokji_threshold", gray(lambda t: H.edge_mean(t, 2, 20)), f"""{T}, m AS ({sql_pass('tile', 'min', 'g', (-2, 2), (-2, 2), 'm', ', g')}), e AS (SELECT img_id, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AND g - m >= 20 THEN g + m END AS v FROM m)
+add("mokji_threshold", gray(lambda t: H.edge_mean(t, 2, 20)), f"""{T}, m AS ({sql_pass('tile', 'min', 'g', (-2, 2), (-2, 2), 'm', ', g')}), e AS (SELECT img_id, CASE WHEN x BETWEEN 2 AND max(x) OVER (PARTITION BY img_id) - 2 AND y BETWEEN 2 AND max(y) OVER (PARTITION BY img_id) - 2 AND g - m >= 20 THEN g + m END AS v FROM m)
 SELECT img_id, CAST(CASE WHEN count(v) > 0 THEN (sum(v) + count(v)) // (2 * greatest(count(v), 1)) ELSE 128 END AS INTEGER) AS threshold FROM e GROUP BY img_id""")
 ONE = "(0.5::DOUBLE * (g * ((g + 1) / (mean + 1) - 0.5)) + (1 - 0.5::DOUBLE) * g)"
 for name, plus, divide, value in (("edge_plus", 0.5, 0.0, ONE), ("edge_div", 0.5, 0.5, None)):

@@ -27,6 +27,22 @@ TILE_SQL = """tile AS (SELECT img_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 A
   FROM (SELECT vec_id AS img_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)), bw AS (SELECT img_id, y, x, CAST(g < 128 AS INTEGER) AS bw FROM tile)"""
 
 
+WIDTHS = [8, 5, 3, 9, 7, 1, 64, 11]
+
+
+def odd_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray rasters of odd, unequal sizes and single lines from the same numbers: as many whole rows of WIDTHS[vec_id mod 8] pixels as they give."""
+    width = F.get(F.array(*map(F.lit, WIDTHS)), F.pmod(F.col("vec_id"), F.lit(len(WIDTHS))).cast("int"))
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), width.alias("w"), F.posexplode("embedding").alias("i", "v"))
+    g = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v").cast("double") * 256 + 128))).cast("int")
+    whole = cells.where(F.col("i") < F.expr("64 div w * w"))
+    return whole.select("img_id", F.expr("i div w").cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), g.alias("g"))
+
+
+ODD_SQL = f"""tile AS (SELECT img_id, CAST(i // w AS INTEGER) AS y, CAST(i % w AS INTEGER) AS x, CAST(greatest(0, least(255, floor(CAST(v AS DOUBLE) * 256 + 128))) AS INTEGER) AS g
+  FROM (SELECT vec_id AS img_id, {WIDTHS}[CAST(vec_id % 8 AS INTEGER) + 1] AS w, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 64 // w * w), bw AS (SELECT img_id, y, x, CAST(g < 128 AS INTEGER) AS bw FROM tile)"""
+
+
 def bitmaps(gray: DataFrame, t: int = 128) -> DataFrame:
     """Black (1) where g < t."""
     return gray.select("img_id", "y", "x", (F.col("g") < t).cast("int").alias("bw"))
@@ -47,8 +63,10 @@ def to_packed(gray: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [np.array([c["g"] for c in row], np.uint8).tobytes() for row in b.column("c").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("img_id"), b.column("width"), b.column("height"), pa.array(data, pa.binary())], ["img_id", "width", "height", "data"])
+            cells = b.column("c")
+            data = cells.flatten().field("g").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            ends = np.append(0, np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([b.column("img_id"), b.column("width"), b.column("height"), pa.array([data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["img_id", "width", "height", "data"])
 
     return cells.mapInArrow(run, PACKED)
 
@@ -59,3 +77,44 @@ def to_long(packed: DataFrame) -> DataFrame:
     cells = packed.select("img_id", "width", F.explode(F.zip_with(i, F.split(F.hex("data"), "(?<=\\G..)"), lambda k, h: F.struct(k.alias("i"), h.alias("h")))).alias("c"))
     cells = cells.where(F.col("c.i").isNotNull())
     return cells.select("img_id", F.expr("c.i div width").cast("int").alias("y"), (F.col("c.i") % F.col("width")).cast("int").alias("x"), F.conv(F.col("c.h"), 16, 10).cast("int").alias("g"))
+
+
+WRAP, CELL, MARGIN = 48, (2, 4), 12
+
+
+def _rendered(doc: int, text: str) -> tuple[int, int, bytes]:
+    """Width, height and gray pixels of a text as a page: 48 characters a line, ink where a character isn't blank, turned by up to two degrees, with a dark fold line on each third page."""
+    ink = np.frombuffer((text or "").encode("utf-32-le"), np.uint32) > 32
+    rows = max(1, -(-len(ink) // WRAP))
+    grid = np.zeros(rows * WRAP, bool)
+    grid[: len(ink)] = ink
+    grid = grid.reshape(rows, WRAP)
+    h, w = rows * CELL[1] + 2 * MARGIN, WRAP * CELL[0] + 2 * MARGIN
+    page = np.full((h, w), 235 - 10 * (doc % 3), np.uint8)
+    y, x = np.nonzero(grid)
+    turn = np.tan(np.radians(((doc % 9) - 4) * 0.5))
+    for dy in range(CELL[1] // 2):
+        for dx in range(CELL[0]):
+            px = MARGIN + x * CELL[0] + dx
+            py = MARGIN + y * CELL[1] + dy + np.floor(turn * (px + 0.5 - w / 2) + 0.5).astype(int)
+            ok = (py >= 0) & (py < h)
+            page[py[ok], px[ok]] = 30 + (px[ok] + dy) % 2 * 20
+    if doc % 3 == 0:
+        page[:, w // 2 : w // 2 + 2] = 60
+    return w, h, page.tobytes()
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packed gray pages, each text whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                ids = part.column("img_id").to_pylist()
+                got = [_rendered(k or 0, t) for k, t in zip(ids, part.column("text").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("img_id"), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], ["img_id", "width", "height", "data"])
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img_id"), "text")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.repartition(parts, F.xxhash64("img_id")).mapInArrow(run, PACKED)

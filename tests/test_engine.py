@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folioframe.operators import pages as A
 from folioframe.operators import pixels as P
-from folioframe.operators import regions as G
+from folioframe.operators import kernels as K
 from folioframe.plans import catalog
 from folioframe.sources import rasters as R
 from folioframe.streaming import stats
@@ -66,7 +66,7 @@ def test_components_and_distances():
     r = np.random.default_rng(2)
     for diagonal in (False, True):
         a = (r.random((12, 11)) < 0.5).astype(int)
-        got, seen, k = G.labels(a, diagonal), np.zeros_like(a), 0
+        got, seen, k = K.components(a, diagonal)[0], np.zeros_like(a), 0
         for y, x in zip(*np.nonzero(a), strict=True):
             if seen[y, x]:
                 continue
@@ -80,15 +80,8 @@ def test_components_and_distances():
         assert (got == seen).all()
     square = np.zeros((9, 9), int)
     square[2:7, 2:7] = 1
-    assert G.distances(square)[4, 2:7].tolist() == [1, 4, 9, 4, 1]
-    assert (G.distances(np.ones((2, 2), int)) == -1).all()
-
-
-def test_reconstruction_stays_between_marker_and_mask():
-    r = np.random.default_rng(3)
-    mask, marker = r.integers(0, 256, (6, 6)), r.integers(0, 256, (6, 6))
-    out = G.reconstruct(marker, mask, True)
-    assert (out >= mask).all() and (out <= np.maximum(marker, mask)).all()
+    assert K.distances(square)[4, 2:7].tolist() == [1, 4, 9, 4, 1]
+    assert (K.distances(np.ones((2, 2), int)) == -1).all()
 
 
 def test_packed_form(spark):
