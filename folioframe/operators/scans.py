@@ -98,7 +98,7 @@ def layout(g: np.ndarray, two_pages: bool, dpi: int = 100) -> tuple[str, list[fl
     return kind, [round((a + b) / 2, 6) for a, b in cutters]
 
 
-def routed(g: np.ndarray, mode: str, method: str = "otsu", curves: bool = False) -> np.ndarray:
+def routed(g: np.ndarray, mode: str, method: str = "otsu", curves: bool = False, dpi: int = 300, level: str = "normal") -> np.ndarray:
     """The output stage by its parameters: ``gray`` and ``mixed`` with evened light, ``bw`` binarised, smoothed and despeckled, ``as_is`` untouched; curves: straightened first where a model is found."""
     if mode == "as_is":
         return g
@@ -109,8 +109,9 @@ def routed(g: np.ndarray, mode: str, method: str = "otsu", curves: bool = False)
     even = K.lit(g)
     if mode == "gray":
         return even
-    mask = K.content_mask(g, 300) if mode == "mixed" else None
-    bw = K.despeckled(K.smoothed(K.binarized(even, method, mask=mask)))
+    mask = K.content_mask(g, dpi) if mode == "mixed" else None
+    bw = K.smoothed(K.binarized(even, method, mask=mask))
+    bw = bw if level == "off" else K.despeckled(bw, dpi, level)
     if mode == "bw":
         return (255 * (1 - bw)).astype(np.uint8)
     if mode != "mixed":

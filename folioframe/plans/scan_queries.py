@@ -107,12 +107,12 @@ page("edges", lambda g: (lambda e: (round(float(e[0].mean()), 6), round(float(e[
 page("dewarp_model", lambda g: (lambda m: (m is not None, None if m is None else round(D.residual(D.text_lines(g), *m), 6)))(D.model(g)), "found boolean, residual double")
 page("dewarped", total(lambda g: (lambda m: g if m is None else D.straightened(g, *m))(D.model(g))), SUM)
 for mode in ("as_is", "gray", "bw", "mixed"):
-    page(f"output_{mode}", total(lambda g, m=mode: S.routed(g, m)), SUM)
+    page(f"output_{mode}", total(lambda g, m=mode: S.routed(g, m, dpi=100)), SUM)
 
 
 def layers(spark, sf_dir: str) -> DataFrame:
     """Foreground, background and mask of each page, counted."""
-    return S.figures(R.scans(spark, sf_dir), lambda g: [(k, int((v < 255).sum())) for k, v in S.layers(S.routed(g, "mixed")).items()], "layer string, ink long", many=True)
+    return S.figures(R.scans(spark, sf_dir), lambda g: [(k, int((v < 255).sum())) for k, v in S.layers(S.routed(g, "mixed", dpi=100)).items()], "layer string, ink long", many=True)
 
 
 QUERIES["page_layers"] = layers
