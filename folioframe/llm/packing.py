@@ -32,7 +32,7 @@ from folioframe.llm import store, textnp
 
 WINDOW, END = 4096, 2
 CACHE_WORDS = 300_000
-PER_SALT = 100_000
+PER_SALT, FEW, SALTS = 100_000, 256, 64
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _cache: dict[str, "_Words"] = {}
 
@@ -208,12 +208,14 @@ def pack(pieces: DataFrame, window: int = WINDOW, per_salt: int = PER_SALT) -> D
 
     Lengths are at most ``window``, so their histogram and the broadcast plan
     have a bound that doesn't depend on the corpus.  Ranks are counted within
-    (length, salt), about ``per_salt`` pieces each, so that a length which many
-    pieces share is split; the driver sees one number for each such part.
+    (length, salt): a length of more than ``FEW`` pieces has up to ``SALTS``
+    parts, and more where these would hold over ``per_salt`` pieces each, so that
+    a length which many pieces share is split; the driver sees one number for
+    each such part.
     """
     spark = pieces.sparkSession
     total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    salts = [max(1, -(-total.get(k, 0) // per_salt)) for k in range(window + 1)]
+    salts = [max(1, min(SALTS, total.get(k, 0) // FEW), -(-total.get(k, 0) // per_salt)) for k in range(window + 1)]
     lead = np.append(0, np.cumsum(salts))
     salt, rank_ = store.free("_salt", pieces.columns), store.free("_rank", pieces.columns)
     of = F.get(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
