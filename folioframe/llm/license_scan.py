@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is lower-cased (A-Z) and cut into segments at line ends, at ``.!?:;)``
+A text is lower-cased and cut into segments at line ends, at ``.!?:;)``
 before white space and at ``|``; other characters than a-z and 0-9 are blanks.
 So comment leaders, list marks, indents and quotes vanish, and a copyright
 line, a program's name or a list number is a segment of its own.  A known
@@ -12,7 +12,8 @@ the sequence of identifiers (longer rules come first); what a rule has matched
 is not there for the rules after it.
 
 All of it happens within the row, whatever its length, and nothing is
-shuffled: a text of megabytes is one string that is rewritten three times.
+shuffled: a text of megabytes is one string that is rewritten three times, or
+not at all if it has none of the words that known sentences are made of.
 
 Defined results: null and empty texts, texts without a known sentence and rows
 without an id give their row with empty lists; repeated sentences are repeated
@@ -24,6 +25,8 @@ of any name are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +163,9 @@ RULES = [
     ("WTFPL", ["wtfpl"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of which each known sentence has one at least: a text without any is not rewritten.
+TRIGGERS = ["licen", "software", "redistribution", "endorse", "warranty", "mozilla", "waived", "cc0", "reserved", "gnu"]
+DOTTED = "\u0130"  # the one letter that engines lower-case to different letters of a-z
 #: The three rewrites: segment ends, other characters, one mark between segments.
 CUT, OTHER, GAP = "[.!?:;)]*\\n|[.!?:;)]+[ \\t\\r]", "[^a-z0-9|]+", " ?[|][ |]*"
 MARK = "||"
@@ -186,18 +191,22 @@ def pattern() -> str:
     return "[|](?:" + "|".join(s.replace(" ", "(?: |[|][|])") for s in ways) + ")[|]"
 
 
-def segments(text: Column) -> Column:
-    """||segment||segment||...||"""
-    low = F.translate(text, UPPER, LOWER)
+def lowered(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit(DOTTED), F.lit("I")))
+
+
+def segments(low: Column) -> Column:
+    """||segment||segment||...|| of a lower-case text."""
     return F.regexp_replace(F.concat(F.lit("|"), F.regexp_replace(F.regexp_replace(low, CUT, "|"), OTHER, " "), F.lit("|")), GAP, MARK)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, identifiers (in text order) and licenses (distinct, in the order in which the text has them) of each row."""
     table = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
-    hits = F.regexp_extract_all(segments(F.col("text")), F.lit(pattern()), F.lit(0))
+    hits = F.regexp_extract_all(segments(F.col("_low")), F.lit(pattern()), F.lit(0))
     ids = F.transform(hits, lambda h: F.element_at(table, F.trim(F.regexp_replace(h, "[ |]+", " "))))
-    df = docs.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("identifiers"))
+    some = reduce(or_, (F.contains("_low", F.lit(t)) for t in TRIGGERS))
+    df = docs.select("doc_id", lowered(F.col("text")).alias("_low")).select("doc_id", F.coalesce(F.when(some, ids), F.array().cast("array<string>")).alias("identifiers"))
     left = F.concat(F.lit("|"), F.array_join("identifiers", MARK), F.lit("|"))
     for k, (_, sequence) in enumerate(rules()):
         left = F.replace(left, F.lit("|" + MARK.join(sequence) + "|"), F.lit(f"<{k}>"))

@@ -42,7 +42,7 @@ def license_scan_sql() -> str:
         left = f"replace({left}, '|{k.MARK.join(sequence)}|', '<{i}>')"
     return f"""
 WITH known(s, id) AS (VALUES {known}), rules(i, name) AS (VALUES {names}),
-t AS (SELECT doc_id, regexp_replace('|' || regexp_replace(regexp_replace(translate(text, '{k.UPPER}', '{k.LOWER}'), '{k.CUT}', '|', 'g'), '{k.OTHER}', ' ', 'g') || '|', '{k.GAP}', '{k.MARK}', 'g') AS s FROM documents),
+t AS (SELECT doc_id, regexp_replace('|' || regexp_replace(regexp_replace(lower(replace(text, '{k.DOTTED}', 'I')), '{k.CUT}', '|', 'g'), '{k.OTHER}', ' ', 'g') || '|', '{k.GAP}', '{k.MARK}', 'g') AS s FROM documents),
 h AS (SELECT doc_id, regexp_extract_all(s, '{k.pattern()}') AS h FROM t),
 u AS (SELECT doc_id, trim(regexp_replace(unnest(h), '[ |]+', ' ', 'g')) AS s, generate_subscripts(h, 1) AS pos FROM h),
 f AS (SELECT doc_id, string_agg(id, '|' ORDER BY pos) AS ids, {left} AS rest FROM u JOIN known ON known.s = u.s GROUP BY doc_id),

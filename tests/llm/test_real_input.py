@@ -85,6 +85,14 @@ def test_notices_of_files(spark, leader):
     assert got == twin(docs, sql.license_scan_sql())
 
 
+def test_triggers_lose_no_sentence(spark):
+    assert all(any(t in s for t in license_scan.TRIGGERS) for s in license_scan.known())
+    docs = frame(spark, {0: "THE M\u0130T L\u0130CENSE\nReleased under the M\u0130T L\u0130CENSE", 1: "al\u212a\nMIT License", 2: None})
+    rows = license_scan.scan(docs).collect()
+    got = sorted(((r["doc_id"], "|".join(r["identifiers"]), "|".join(r["licenses"])) for r in rows), key=str)
+    assert got == twin(docs, sql.license_scan_sql())
+
+
 def test_line_dedup_counts_documents_by_id(spark):
     line = "all of these documents have this line"
     rows = [(1, f"{line}\nown {'abcdefghijkl'[k]}") for k in range(12)] + [(2, line + "\nown text"), (3, "none"), (None, line), (None, line), (4, None), (4, "")]
