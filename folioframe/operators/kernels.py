@@ -321,11 +321,14 @@ def reconstructed(marker: np.ndarray, mask: np.ndarray, diagonal: bool = False)
         at = new
 
 
-def nearest(on: np.ndarray, scale: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distance to the nearest pixel that is on (FAR where there is none), and that pixel's flat index; vertical steps count scale times.
-
-    Columns first (the nearest on pixel above or below), then for all rows at
-    once the lower envelope of the columns' parabolas.
+def nearest(on: np.ndarray, scale: int = 1, steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance to the nearest pixel that is on (FAR where there is none), and that pixel's flat index, of several the leftmost's, then the topmost's; vertical steps count scale times.
+
+    Columns first (the nearest on pixel above or below).  Then columns one, two
+    and more steps aside are looked at by the pixels whose distance is no shorter
+    than the step, ``steps`` looks a pixel at most (0 for images with wide empty
+    parts); where that isn't enough, for all rows at once the lower envelope of the columns'
+    parabolas.
     """
     h, w = on.shape
     rows = np.arange(h)[:, None]
@@ -337,6 +340,23 @@ def nearest(on: np.ndarray, scale: int = 1) -> tuple[np.ndarray, np.ndarray]:
     col = np.where(d < FAR >> 1, (d * scale) ** 2, FAR).astype(np.int64)
     if not w or not h:
         return col, np.zeros((h, w), np.int64)
+    best, at = col.ravel().copy(), np.tile(np.arange(w), h)
+    flat, left = col.ravel(), steps * h * w
+    open_ = np.arange(h * w)
+    for k in range(1, w if steps else 0):
+        open_ = open_[best[open_] >= k * k]
+        left -= len(open_)
+        if not len(open_) or left < 0:
+            break
+        x = open_ % w
+        for p, ties in ((open_[x >= k], True), (open_[x < w - k], False)):
+            q = p - k if ties else p + k
+            d = flat[q] + k * k
+            take = (d <= best[p]) if ties else (d < best[p])
+            p = p[take]
+            best[p], at[p] = d[take], q[take] % w
+    if steps and left >= 0 and (best < FAR).all():
+        return best.reshape(h, w), np.clip(site.ravel()[np.arange(h * w) // w * w + at], 0, h - 1).reshape(h, w) * w + at.reshape(h, w)
     place = np.zeros((h, w), np.int32)  # column of the k-th parabola of each row's envelope
     start = np.zeros((h, w), np.int64)  # and the first column where it is the lowest
     last = np.zeros(h, np.int64)
@@ -379,7 +399,7 @@ def distances(bw: np.ndarray, white: bool = True, border: bool = False) -> np.nd
     on = (bw == 0) if white else (bw > 0)
     if border:
         on = np.pad(on, 1, constant_values=True)
-    d, _ = nearest(on)
+    d, _ = nearest(on, steps=6 if white else 0)  # strokes are thin, paper is wide
     d = np.where(d >= FAR, -1, d)
     return d[1:-1, 1:-1] if border else d
 

@@ -50,6 +50,16 @@ def test_distances_zones_and_borders():
         assert (K.zones(label) == np.array(zone)).all()
 
 
+def test_both_ways_to_the_nearest_pixel_agree():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        h, w = r.integers(1, 90, 2)
+        on = r.random((h, w)) < r.choice([0.0, 0.001, 0.02, 0.3])
+        for scale in (1, 2):
+            a, b = K.nearest(on, scale, 0), K.nearest(on, scale, 1000)
+            assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 def test_eroded_points_are_plateaus_without_a_higher_neighbour():
     for bw, _ in shapes(4):
         d = K.distances(np.pad(bw, 1))[1:-1, 1:-1]
