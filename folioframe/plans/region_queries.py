@@ -34,6 +34,7 @@ for diagonal, k in ((False, 4), (True, 8)):
     add(f"component_stats{k}", bw(lambda b, d=diagonal: G.component_stats(G.components(b, d))), f"{_labels(diagonal)}, {STAT} SELECT * FROM st")
     add(f"seed_fill{k}", bw(lambda b, d=diagonal: G.seed_fill(G.components(b, d), b.where("y = 0"))), f"{_labels(diagonal)} SELECT img_id, y, x, CAST(label > 0 AND EXISTS (SELECT 1 FROM lab s WHERE s.img_id = lab.img_id AND s.label = lab.label AND s.y = 0) AS INTEGER) AS bw FROM lab")
 add("big_components", bw(lambda b: G.big_components(b, 3)), f"{_labels(True)}, {STAT} SELECT lab.img_id, y, x, CAST(coalesce(greatest(x1 - x0, y1 - y0) + 1 >= 3, FALSE) AS INTEGER) AS bw FROM lab LEFT JOIN st ON st.img_id = lab.img_id AND st.label = lab.label")
+add("despeckle", bw(lambda b: G.despeckle(b, 75)), None)
 add("distance_map", bw(G.distance_map), f"{T} SELECT a.img_id, a.y, a.x, CAST(coalesce(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), -1) AS BIGINT) AS d2 FROM bw a LEFT JOIN bw b ON b.img_id = a.img_id AND b.bw = 0 GROUP BY ALL")
 add("influence_zones", bw(lambda b: G.influence(G.components(b))), f"""{_labels(False)} SELECT a.img_id, a.y, a.x, CAST(coalesce(arg_min(b.label, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x), b.x, b.y)), 0) AS INTEGER) AS zone
 FROM lab a LEFT JOIN lab b ON b.img_id = a.img_id AND b.label > 0 GROUP BY a.img_id, a.y, a.x""")
