@@ -344,7 +344,7 @@ def test_linked_copies_meet_no_more(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
     asked = []
     links = jaccard_join.links
-    monkeypatch.setattr(jaccard_join, "links", lambda docs, tasks, *rest: (asked.append(tasks.count()), links(docs, tasks, *rest))[1])
+    monkeypatch.setattr(jaccard_join, "links", lambda docs, tasks, *rest, **more: (asked.append(tasks.count()), links(docs, tasks, *rest, **more))[1])
     base = [f"w{j}" for j in range(200)]
     docs = {i: " ".join(w if j != i % 200 else f"x{i}" for j, w in enumerate(base)) for i in range(1200)}
     assert {r["component_id"] for r in jaccard_join.join(frame(spark, docs)).collect()} == {0}
