@@ -9,7 +9,7 @@ from folioframe.operators import layout as L
 from folioframe.operators import pages as A
 from folioframe.operators import pixels as P
 from folioframe.plans.page_queries import KEY, PAGE, pages
-from folioframe.plans.raster_queries import T
+from folioframe.plans.raster_queries import T8 as T
 from folioframe.sources import rasters as R
 from folioframe.sources.rasters import table
 
