@@ -54,7 +54,7 @@ def text_lines(g: np.ndarray, least: float = 0.25, edge: int = 2) -> list[np.nda
     if not n:
         return []
     box = K.component_boxes(label, n)
-    out = []
+    blur, out = K.local_mean(g, 5)[0], []
     for k in np.flatnonzero((box[:, 3] - box[:, 1] + 1 >= least * w) & (box[:, 2] >= edge) & (box[:, 4] < h - edge)):
         _, x0, y0, x1, y1 = box[k]
         part = label[y0 : y1 + 1, x0 : x1 + 1] == k + 1
@@ -63,14 +63,13 @@ def text_lines(g: np.ndarray, least: float = 0.25, edge: int = 2) -> list[np.nda
         x = np.flatnonzero(count)
         y = (part * ys).sum(axis=0)[x] / count[x] + y0
         step = max(1, len(x) // 32)
-        out.append(snake(g, np.column_stack([x + x0, y])[::step]))
+        out.append(snake(blur, np.column_stack([x + x0, y])[::step]))
     return sorted(out, key=lambda c: float(c[:, 1].mean()))
 
 
-def snake(g: np.ndarray, points: np.ndarray, rounds: int = 8, stiff: float = 2.0) -> np.ndarray:
-    """A curve moved up or down by single pixels towards dark rows while its bends stay small: each point takes the best of three places, all at once by dynamic programming."""
-    blur = K.local_mean(g, 5)[0]
-    h, w = g.shape
+def snake(blur: np.ndarray, points: np.ndarray, rounds: int = 8, stiff: float = 2.0) -> np.ndarray:
+    """A curve moved up or down by single pixels towards dark rows of a blurred page while its bends stay small: each point takes the best of three places, all at once by dynamic programming."""
+    h, w = blur.shape
     x = np.clip(points[:, 0].astype(int), 0, w - 1)
     y = points[:, 1].astype(float)
     moves = np.array([-1.0, 0.0, 1.0])
@@ -175,9 +174,9 @@ def residual(curves: list[np.ndarray], top: np.ndarray, bottom: np.ndarray) -> f
     return float(np.mean(out)) if out else 1000.0
 
 
-def model(g: np.ndarray, more: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
-    """Top and bottom curve of a page, from the pair of its text lines that leaves all lines straightest: the first three with the last three, and some at random; None for fewer than two lines."""
-    curves = text_lines(g)
+def model(g: np.ndarray, more: int = 10, seed: int = 0, curves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Top and bottom curve of a page, from the pair of its text lines that leaves all lines straightest: the first three with the last three, and some at random; None for fewer than two lines. curves: the text lines, if they are known."""
+    curves = text_lines(g) if curves is None else curves
     bounds = vertical_bounds(black(g)) if len(curves) >= 2 else None
     if bounds is None:
         return None

@@ -104,7 +104,7 @@ page("polarity", lambda g: (lambda p: (p[0], round(p[1], 6), K.needs_inversion(g
 page("text_lines", lambda g: [(k, len(c), round(float(c[:, 1].mean()), 6)) for k, c in enumerate(D.text_lines(g))], "line int, points int, y double", many=True)
 page("vertical_bounds", lambda g: (lambda b: (None,) * 4 if b is None else (round(b[0][0], 6), round(b[0][1], 6), round(b[1][0], 6), round(b[1][1], 6)))(D.vertical_bounds(S.black(g))), "left double, left_slope double, right double, right_slope double")
 page("edges", lambda g: (lambda e: (round(float(e[0].mean()), 6), round(float(e[1].mean()), 6)))(D.edges(g)) if g.shape[0] > 2 else (None, None), "top double, bottom double")
-page("dewarp_model", lambda g: (lambda m: (m is not None, None if m is None else round(D.residual(D.text_lines(g), *m), 6)))(D.model(g)), "found boolean, residual double")
+page("dewarp_model", lambda g: (lambda c: (lambda m: (m is not None, None if m is None else round(D.residual(c, *m), 6)))(D.model(g, curves=c)))(D.text_lines(g)), "found boolean, residual double")
 page("dewarped", total(lambda g: (lambda m: g if m is None else D.straightened(g, *m))(D.model(g))), SUM)
 for mode in ("as_is", "gray", "bw", "mixed"):
     page(f"output_{mode}", total(lambda g, m=mode: S.routed(g, m, dpi=100)), SUM)
