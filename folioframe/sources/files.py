@@ -144,7 +144,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class PageFiles(DataSource):
-    """Packed pages as image files: options path, kind (tiff, pdf, png, pgm), dpi, bw_codec, colour_codec."""
+    """Packed pages as image files: options path, kind (tiff, pdf, png, pgm), dpi, bw_codec (none, packbits, lzw, deflate, fax), colour_codec (the same but fax)."""
 
     @classmethod
     def name(cls) -> str:

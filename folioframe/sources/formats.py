@@ -2,9 +2,11 @@
 
 ``metadata`` reads headers alone and decodes no pixel; ``decode`` gives gray
 pages.  Both return None for what they don't know or what is cut short, and
-never raise on file content.  Of TIFF the codecs none, PackBits and Deflate are
-read and written, gray, bitonal, palette and RGB, in strips; of PDF, images
-stored raw or by Flate.
+never raise on file content.  Of TIFF the codecs none, PackBits, LZW, Deflate and
+fax (T.6) are written, and T.4 and JPEG read as well; gray, bitonal,
+palette, RGB and CMYK, of 1 to 16 bits, in strips or tiles.  Of PDF, images
+stored raw, by Flate, LZW, fax or JPEG are read.  JPEG is read where it
+is Huffman-coded, of 8 bits and one or three planes; of JPEG 2000 only the header.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from folioframe.sources import codecs
+
 
 @dataclass(frozen=True)
 class Meta:
@@ -197,6 +201,9 @@ def _unpacked(data: bytes) -> bytes:
     return bytes(out)
 
 
+_UNDO = {1: bytes, 5: codecs.unlzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked}
+
+
 def _packed(line: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(line):
@@ -215,40 +222,82 @@ def _packed(line: bytes) -> bytes:
     return bytes(out)
 
 
+def _samples(raw: bytes, rows: int, width: int, planes: int, bits: int, order: str, summed: bool) -> np.ndarray:
+    """Samples (rows, width, planes) as they are, of 16 bits the upper eight; fails if raw is too short."""
+    if bits == 16:
+        a = np.frombuffer(raw, order + "u2", rows * width * planes).reshape(rows, width, planes)
+        return ((a.cumsum(axis=1).astype(np.uint16) if summed else a) >> 8).astype(np.uint8)
+    line = (width * planes * bits + 7) // 8
+    a = np.frombuffer(raw, np.uint8, line * rows).reshape(rows, line)
+    if bits < 8:
+        a = (a[:, :, None] >> np.arange(8 - bits, -1, -bits)) & ((1 << bits) - 1)
+        return a.reshape(rows, -1)[:, : width * planes].reshape(rows, width, planes).astype(np.uint8)
+    a = a.reshape(rows, width, planes)
+    return a.cumsum(axis=1).astype(np.uint8) if summed else a
+
+
+_FAX_CODECS = {2: 2, 3: 3, 4: 4}
+
+
 def _tiff(content: bytes, page: int) -> np.ndarray | None:
     found = _directories(content)
     if not found or page >= len(found):
         return None
     t = found[page]
-    w, h = t.get(256, [0])[0], t.get(257, [0])[0]
-    bits, planes, codec, kind = t.get(258, [1]), t.get(277, [1])[0], t.get(259, [1])[0], t.get(262, [1])[0]
-    if not w or not h or 273 not in t or 279 not in t or bits[0] not in (1, 8) or codec not in (1, 8, 32946, 32773) or t.get(284, [1])[0] != 1 or t.get(317, [1])[0] not in (1, 2):
+    one = lambda tag, default=0: t.get(tag, [default])[0]
+    w, h, bits, planes, codec, kind = one(256), one(257), one(258, 1), one(277, 1), one(259, 1), one(262, 1)
+    tiled = 324 in t
+    places, sizes = (t.get(324), t.get(325)) if tiled else (t.get(273), t.get(279))
+    bw, bh = (one(322), one(323)) if tiled else (w, min(one(278, h), h))
+    if not (w and h and bw and bh and places and sizes) or bits not in (1, 2, 4, 8, 16) or one(317, 1) not in (1, 2) or kind == 6 and codec != 7:
         return None
-    undo = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked}[codec]
-    row = (w * bits[0] * planes + 7) // 8
-    each = min(t.get(278, [h])[0], h)
-    raw = bytearray()
-    for k, (a, n) in enumerate(zip(t[273], t[279], strict=False)):
-        raw += undo(content[a : a + n])[: row * min(each, h - k * each)]
-    if len(raw) < row * h:
+    if one(317, 1) == 2 and bits < 8 or codec in _FAX_CODECS and (bits, planes) != (1, 1):
         return None
-    a = np.frombuffer(bytes(raw[: row * h]), np.uint8).reshape(h, row)
-    if bits[0] == 1:
-        a = np.unpackbits(a, axis=1)[:, :w] * 255
-        return 255 - a if kind == 0 else a
-    a = a[:, : w * planes].reshape(h, w, planes)
-    if t.get(317, [1])[0] == 2:
-        a = a.cumsum(axis=1).astype(np.uint8)
+    apart = one(284, 1) == 2 and planes > 1
+    each = 1 if apart else planes
+    across, down = -(-w // bw), -(-h // bh)
+    out = np.zeros((down * bh, across * bw, planes), np.uint8)
+    if len(places) < across * down * (planes if apart else 1):
+        return None
+    for k in range(across * down * (planes if apart else 1)):
+        plane, block = divmod(k, across * down)
+        y, x = bh * (block // across), bw * (block % across)
+        rows = bh if tiled else min(bh, h - y)
+        data = content[places[k] : places[k] + sizes[k]]
+        if one(266, 1) == 2 and codec != 7:
+            data = codecs.reversed_bits(data)
+        if codec in _FAX_CODECS:
+            data = codecs.unfax(data, bw, rows, _FAX_CODECS[codec], codec == 3 and one(292) & 1 == 1)
+        elif codec == 7:
+            tables = bytes(t.get(347, []))
+            px = codecs.unjpeg(tables[:-2] + data[2:] if tables else data, rgb=kind == 2)
+            if px is None or px.shape[2] != each or px.shape[0] < rows or px.shape[1] < bw:
+                return None
+            data = px[:rows, :bw].tobytes()
+        elif codec in _UNDO:
+            data = _UNDO[codec](data)
+        else:
+            return None
+        first, last = (plane, plane + 1) if apart else (0, planes)
+        out[y : y + rows, x : x + bw, first:last] = _samples(data, rows, bw, each, bits, t[0][0], one(317, 1) == 2)
+    out = out[:h, :w]
     if kind == 3:
-        table = np.array(t.get(320, [0] * 768), np.int64).reshape(3, -1).T >> 8
-        return gray(table[a[..., 0]])
+        table = np.array(t.get(320, [0] * (3 << bits)), np.int64).reshape(3, -1).T >> 8
+        return gray(table[out[..., 0]])
+    if bits < 8:
+        out = out * np.uint8(255 // ((1 << bits) - 1))
+    if kind == 5:
+        return gray((255 - out[..., :3].astype(np.int32)) * (255 - out[..., 3:4].astype(np.int32)) // 255) if planes >= 4 else None
     if planes >= 3:
-        return gray(a[..., :3])
-    return 255 - a[..., 0] if kind == 0 else np.ascontiguousarray(a[..., 0])
+        return gray(out[..., :3])
+    return 255 - out[..., 0] if kind == 0 else np.ascontiguousarray(out[..., 0])
+
+
+_TIFF_CODECS = {"none": 1, "packbits": 32773, "lzw": 5, "deflate": 8, "fax": 4}
 
 
 def encode_tiff(pages: list[np.ndarray], dpi: int = 300, bw_codec: str = "packbits", colour_codec: str = "deflate") -> bytes:
-    """One directory a page: bitonal by one codec, gray and RGB by the other (none, packbits, deflate)."""
+    """One directory a page: bitonal by one codec, gray and RGB by the other (none, packbits, lzw, deflate; bitonal also fax)."""
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     for a in pages:
@@ -256,13 +305,21 @@ def encode_tiff(pages: list[np.ndarray], dpi: int = 300, bw_codec: str = "packbi
         bitonal = a.ndim == 2 and is_bitonal(a)
         rows = np.packbits(a > 0, axis=1) if bitonal else np.ascontiguousarray(a).reshape(h, -1)
         codec = bw_codec if bitonal else colour_codec
-        data = {"none": lambda r=rows: r.tobytes(), "packbits": lambda r=rows: b"".join(_packed(x.tobytes()) for x in r), "deflate": lambda r=rows: zlib.compress(r.tobytes(), 6)}[codec]()
+        if codec == "fax" and not bitonal:
+            raise ValueError("fax takes bitonal pages only")
+        data = {
+            "none": lambda r=rows: r.tobytes(),
+            "packbits": lambda r=rows: b"".join(_packed(x.tobytes()) for x in r),
+            "lzw": lambda r=rows: codecs.lzw(r.tobytes()),
+            "deflate": lambda r=rows: zlib.compress(r.tobytes(), 6),
+            "fax": lambda a=a: codecs.fax(a == 0),
+        }[codec]()
         planes = 1 if a.ndim == 2 else 3
         start = len(out)
         out += data + b"\0" * (len(data) % 2)
         extra = len(out)
         out += struct.pack("<IIII", dpi, 1, dpi, 1) + struct.pack("<3H", 8, 8, 8) + b"\0\0"
-        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 1 if bitonal else 8) if planes == 1 else (258, 3, 3, extra + 16), (259, 3, 1, {"none": 1, "packbits": 32773, "deflate": 8}[codec]), (262, 3, 1, 2 if planes == 3 else 1), (273, 4, 1, start), (277, 3, 1, planes), (278, 4, 1, h), (279, 4, 1, len(data)), (282, 5, 1, extra), (283, 5, 1, extra + 8), (296, 3, 1, 2)]
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 1 if bitonal else 8) if planes == 1 else (258, 3, 3, extra + 16), (259, 3, 1, _TIFF_CODECS[codec]), (262, 3, 1, 2 if planes == 3 else 0 if codec == "fax" else 1), (273, 4, 1, start), (277, 3, 1, planes), (278, 4, 1, h), (279, 4, 1, len(data)), (282, 5, 1, extra), (283, 5, 1, extra + 8), (296, 3, 1, 2)]
         out[link : link + 4] = struct.pack("<I", len(out))
         out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
         link = len(out)
@@ -282,7 +339,21 @@ _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj(.*?)endobj", re.S)
 
 
 def _objects(content: bytes) -> dict[int, bytes]:
-    return {int(k): v for k, v in _OBJECT.findall(content)}
+    """Bodies by number; objects in compressed streams are unpacked."""
+    out = {int(k): v for k, v in _OBJECT.findall(content)}
+    for body in list(out.values()):
+        start = re.search(rb"stream\r?\n", body)
+        if not start or not re.search(rb"/Type\s*/ObjStm", body[: start.start()]):
+            continue
+        data = body[start.end() :]
+        if b"FlateDecode" in body[: start.start()]:
+            data = zlib.decompressobj().decompress(data)
+        first = _value(body, b"First")
+        index = [int(v) for v in data[:first].split()]
+        ends = [*index[3::2], len(data) - first]
+        for k, a, b in zip(index[::2], index[1::2], ends, strict=False):
+            out.setdefault(k, data[first + a : first + b])
+    return out
 
 
 def _value(body: bytes, key: bytes, default: int = 0) -> int:
@@ -325,19 +396,49 @@ def _pdf(content: bytes, page: int) -> np.ndarray | None:
     body = max(pages[page][1], key=lambda i: _value(i, b"Width") * _value(i, b"Height"))
     w, h, bits = _value(body, b"Width"), _value(body, b"Height"), _value(body, b"BitsPerComponent", 8)
     start = re.search(rb"stream\r?\n", body)
-    codec = re.search(rb"/Filter\s*\[?\s*/(\w+)", body)
-    if not start or bits not in (1, 8) or (codec and codec[1] != b"FlateDecode"):
+    if not start or not w or not h:
         return None
-    raw = body[start.end() : start.end() + _value(body, b"Length")]
-    raw = zlib.decompress(raw) if codec else raw
-    planes = 3 if b"DeviceRGB" in body else 1
-    row = (w * planes * bits + 7) // 8
-    if len(raw) < row * h or not w or not h:
+    head = body[: start.start()]
+    size = _value(head, b"Length")
+    raw = body[start.end() : start.end() + size] if size else body[start.end() : body.rindex(b"endstream")]
+    names = re.search(rb"/Filter\s*(\[[^\]]*\]|/\w+)", head)
+    planes = 3 if b"DeviceRGB" in head else 1
+    bits = 1 if re.search(rb"/ImageMask\s+true", head) else bits
+    inverted = re.search(rb"/Decode\s*\[\s*1\s+0", head) is not None
+    for codec in re.findall(rb"/(\w+)", names[1]) if names else []:
+        if codec in (b"FlateDecode", b"LZWDecode"):
+            raw = zlib.decompress(raw) if codec == b"FlateDecode" else codecs.unlzw(raw)
+            if _value(head, b"Predictor", 1) >= 10:
+                raw = _unpredicted(raw, (w * planes * bits + 7) // 8, h, max(1, planes * bits // 8))
+        elif codec == b"CCITTFaxDecode":
+            k = re.search(rb"/K\s+(-?\d+)", head)
+            kind = int(k[1]) if k else 0
+            raw = codecs.unfax(raw, _value(head, b"Columns", 1728), h, 4 if kind < 0 else 3, kind > 0)
+            if not re.search(rb"/BlackIs1\s+true", head):
+                raw = (~np.frombuffer(raw, np.uint8)).tobytes()
+        elif codec == b"DCTDecode":
+            px = codecs.unjpeg(raw)
+            if px is None or px.shape[:2] != (h, w):
+                return None
+            raw, planes, bits = px.tobytes(), px.shape[2], 8
+        else:
+            return None
+    if bits not in (1, 2, 4, 8, 16) or _value(head, b"Predictor", 1) == 2:
         return None
-    a = np.frombuffer(raw, np.uint8)[: row * h].reshape(h, row)
-    if bits == 1:
-        return np.unpackbits(a, axis=1)[:, :w] * 255
-    return gray(a.reshape(h, w, 3)) if planes == 3 else a
+    a = _samples(raw, h, w, planes, bits, ">", False)
+    a = a * np.uint8(255 // ((1 << bits) - 1)) if bits < 8 else a
+    a = gray(a) if planes == 3 else a[..., 0]
+    return 255 - a if inverted else np.ascontiguousarray(a)
+
+
+def _unpredicted(raw: bytes, row: int, h: int, step: int) -> bytes:
+    """Lines of bytes from lines of differences, each after the kind of its differences."""
+    lines = np.frombuffer(raw, np.uint8, (row + 1) * h).reshape(h, row + 1)
+    out, before = [], np.zeros(row, np.uint8)
+    for line in lines:
+        before = _unfiltered(int(line[0]), line[1:], before, step)
+        out.append(before.tobytes())
+    return b"".join(out)
 
 
 def encode_pdf(pages: list[np.ndarray], dpi: int = 300) -> bytes:
@@ -363,7 +464,7 @@ def encode_pdf(pages: list[np.ndarray], dpi: int = 300) -> bytes:
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table))
 
 
-# --- JPEG and JPEG 2000: headers --------------------------------------------------------------------------------
+# --- headers of JPEG and JPEG 2000 --------------------------------------------------------------------------------
 
 
 def _jpeg_meta(content: bytes) -> list[Meta] | None:
@@ -425,7 +526,7 @@ def metadata(content: bytes) -> list[Meta] | None:
         return None
     try:
         return _META[kind](content) or []
-    except (struct.error, ValueError, IndexError):
+    except (struct.error, ValueError, IndexError, zlib.error):
         return []
 
 
@@ -439,6 +540,9 @@ def decode(content: bytes, page: int = 0) -> np.ndarray | None:
             return _tiff(content, page)
         if page or kind is None:
             return None
+        if kind == "jpeg":
+            px = codecs.unjpeg(content)
+            return None if px is None else gray(px) if px.shape[2] == 3 else px[..., 0]
         if kind == "png":
             return _png(content)
         if kind == "pnm":
