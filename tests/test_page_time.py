@@ -26,6 +26,7 @@ def pages(n: int = 12) -> list[np.ndarray]:
 # Milliseconds of CPU a page of about 28,000 pixels: some times what a query takes, a fraction of what it took before.
 LIMITS = {
     "background": 12,
+    "lit": 12,
 }
 
 
