@@ -27,6 +27,7 @@ def pages(n: int = 12) -> list[np.ndarray]:
 LIMITS = {
     "background": 12,
     "lit": 12,
+    "output_gray": 12,
 }
 
 
