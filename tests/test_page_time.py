@@ -28,6 +28,7 @@ LIMITS = {
     "background": 12,
     "lit": 12,
     "output_gray": 12,
+    "despeckled_normal": 12,
 }
 
 
@@ -62,3 +63,40 @@ def test_surface_is_least_squares_over_the_mask():
     a = (np.vander(np.linspace(-1, 1, 50), 6, increasing=True)[y[on]][:, :, None] * np.vander(np.linspace(-1, 1, 70), 6, increasing=True)[x[on]][:, None, :]).reshape(on.sum(), -1)
     c = np.linalg.solve(a.T @ a + 1e-6 * on.sum() * np.eye(36), a.T @ g[on].astype(float))
     assert (K.surface(g, on, 5, 5)[on].astype(int) - np.floor(a @ c + 0.5).astype(int) == 0).mean() > 0.999
+
+
+def test_nearest_pixels_of_wide_and_sparse_images():
+    r = np.random.default_rng(12)
+    for h, w, share in ((40, 700, 0.01), (200, 400, 0.0005), (60, 300, 0.3), (3, 1500, 0.002), (300, 120, 0.01), (1200, 3, 0.002)):
+        on = r.random((h, w)) < share
+        on[h // 2, w // 3] = True
+        on[:, : w // 5] = False
+        for scale in (1, 2):
+            (d, at), rows = K.nearest(on, scale), np.arange(h)[:, None]
+            y, x = np.divmod(at, w)
+            assert on[y, x].all() and (d == (x - np.arange(w)) ** 2 + (scale * (y - rows)) ** 2).all()
+            d1, at1 = K.nearest(on, scale, 100000)
+            assert (d == d1).all() and (at == at1).all()
+
+
+def test_chains_of_any_length_are_followed():
+    on = np.arange(500)
+    assert K._reached(on, on + 1, 501).all()
+    assert K._reached(on[1:], on[1:] + 1, 501).tolist() == [True] + [False] * 500
+    dots = np.zeros((9, 400), np.uint8)
+    dots[:, :30] = 1
+    dots[4, 33::4] = 1
+    assert (K.despeckled(dots, 300, "cautious") == dots).all() and K.despeckled(dots[:, 31:], 300, "cautious").sum() == 0
+
+
+def test_smoothing_is_hit_miss_in_all_directions():
+    r = np.random.default_rng(13)
+    for h, w in ((1, 1), (1, 30), (30, 1), (40, 23), (33, 64), (9, 120)):
+        bw = (K.local_mean((r.random((h, w)) < 0.5).astype(np.uint8), 5)[0] > 0.5).astype(np.uint8)
+        bw[r.random((h, w)) < 0.05] ^= 1
+        want = bw
+        for pattern in K.SMOOTHING:
+            for _ in range(4):
+                want = K.hit_miss(want, pattern)
+                pattern = ["".join(row[k] for row in reversed(pattern)) for k in range(len(pattern[0]))]
+        assert (K.smoothed(bw) == want).all()
