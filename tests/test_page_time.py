@@ -29,6 +29,7 @@ LIMITS = {
     "lit": 12,
     "output_gray": 12,
     "despeckled_normal": 12,
+    "despeckled_cautious": 12,
 }
 
 
