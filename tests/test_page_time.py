@@ -30,6 +30,7 @@ LIMITS = {
     "output_gray": 12,
     "despeckled_normal": 12,
     "despeckled_cautious": 12,
+    "despeckled_aggressive": 12,
 }
 
 
