@@ -31,6 +31,7 @@ LIMITS = {
     "despeckled_normal": 12,
     "despeckled_cautious": 12,
     "despeckled_aggressive": 12,
+    "output_bw": 25,
 }
 
 
