@@ -32,6 +32,7 @@ LIMITS = {
     "despeckled_cautious": 12,
     "despeckled_aggressive": 12,
     "output_bw": 25,
+    "content_box": 14,
 }
 
 
@@ -103,3 +104,18 @@ def test_smoothing_is_hit_miss_in_all_directions():
                 want = K.hit_miss(want, pattern)
                 pattern = ["".join(row[k] for row in reversed(pattern)) for k in range(len(pattern[0]))]
         assert (K.smoothed(bw) == want).all()
+
+
+def test_pages_without_pictures_are_told_without_their_pictures(monkeypatch):
+    r = np.random.default_rng(14)
+    some = pages(4)
+    for g in pages(4):
+        g = g.copy()
+        g[20:80, 20:90] = r.integers(20, 235, (60, 70))
+        some.append(g)
+    some += [np.full((30, 40), 200, np.uint8), r.integers(0, 256, (25, 31)).astype(np.uint8), np.zeros((1, 1), np.uint8)]
+    fast = [K.content_mask(g, dpi) for g in some for dpi in (75, 100)]
+    told = [K._without_pictures(g, 100) for g in some]
+    assert all(told[:4]) and not any(told[4:8])
+    monkeypatch.setattr(K, "_without_pictures", lambda g, dpi: False)
+    assert all((a == b).all() for a, b in zip(fast, [K.content_mask(g, dpi) for g in some for dpi in (75, 100)], strict=True))
