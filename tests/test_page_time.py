@@ -33,6 +33,7 @@ LIMITS = {
     "despeckled_aggressive": 12,
     "output_bw": 25,
     "content_box": 14,
+    "output_mixed": 30,
 }
 
 
@@ -40,7 +41,7 @@ LIMITS = {
 def test_time_a_page(name, monkeypatch):
     kept = {}
     monkeypatch.setattr(scan_queries.R, "scans", lambda spark, d: None)
-    monkeypatch.setattr(scan_queries.S, "figures", lambda scans, f, *rest: kept.setdefault("f", f))
+    monkeypatch.setattr(scan_queries.S, "figures", lambda scans, f, *rest, **more: kept.setdefault("f", f))
     scan_queries.QUERIES[f"page_{name}"](None, "")
     some = pages()
     kept["f"](some[0])
@@ -111,7 +112,7 @@ def test_pages_without_pictures_are_told_without_their_pictures(monkeypatch):
     some = pages(4)
     for g in pages(4):
         g = g.copy()
-        g[20:80, 20:90] = r.integers(20, 235, (60, 70))
+        g[20:80, 20:90] = r.integers(90, 160, (60, 70))
         some.append(g)
     some += [np.full((30, 40), 200, np.uint8), r.integers(0, 256, (25, 31)).astype(np.uint8), np.zeros((1, 1), np.uint8)]
     fast = [K.content_mask(g, dpi) for g in some for dpi in (75, 100)]
