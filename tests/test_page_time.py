@@ -34,6 +34,7 @@ LIMITS = {
     "output_bw": 25,
     "content_box": 14,
     "output_mixed": 30,
+    "layers": 30,
 }
 
 
