@@ -1,13 +1,15 @@
 """Quality classifier: Bradley-Terry ranking of documents.
 
-A document's strength is linear in features of its whole text.  Preference
+A document's strength is linear in features of its whole text.  All preference
 pairs (a document labelled 1 over one labelled 0) are fitted by logistic loss
 on feature differences; the strength at the quantile of the training scores
 that equals the share of label 0 becomes the threshold, and the score is the
 logistic of the distance from it.
 
-Labels come from a bounded sample: at most ``MAX_LABELLED`` rows, drawn by a
-hash of the id at a rate that counting sets, and ``MAX_PAIRS`` pairs of them.
+Every label that isn't held out counts, in every pair: a Newton step needs of
+all rows only sums by label and by bin of the score (``WIDTH`` wide, at its
+rows' mean score), so the driver holds as much however many rows there are.
+The sums are of whole numbers and don't depend on the order of rows.
 
 Defined results: null and empty texts are scored by their (zero) features; a
 text of any length is scored whole; without labels of both kinds (empty tables
@@ -19,17 +21,17 @@ name are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm import textnp
+from folioframe.llm import store, textnp
 from folioframe.llm.language_id import held_out
 
-MAX_LABELLED, MAX_PAIRS = 20_000, 200_000
+WIDTH, BINS, ONE = 0.25, 128, 1 << 12  # of bins of scores around 0; ONE: a standard deviation in sums
 _CLASS = np.full(256, 0, np.uint8)
 for _k, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:'\"", b"!?", b"#*$%&|<>=+_~^@\\/{}[]()-", bytes(range(128, 256))), 1):
     _CLASS[list(_set)] = _k
@@ -72,34 +74,136 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", steps: int = 300, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float] | None:
-    """Mean, scale, weights, threshold and width, from labels that aren't held out; None without both kinds."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("_y"))
-    n = known.count()
-    if n > MAX_LABELLED:
-        rate = int(0.97 * MAX_LABELLED / n * 1_000_000)
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < rate).limit(MAX_LABELLED)
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["doc_id", "_y"]).orderBy("doc_id").toPandas()
-    y = rows["_y"].to_numpy()
-    if not len(y) or y.min() == y.max():
+def _totals(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str = "long") -> np.ndarray:
+    """Sum of what f gives of (x, label, times) over all rows, an array of a fixed length; zeros don't travel."""
+    dtype = np.int64 if kind == "long" else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, length = None, 0
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+                now = f(x, part.column("_y").to_numpy(), part.column("_n").to_numpy())
+                total, length = now if total is None else total + now, len(now)
+        if total is not None:
+            at = np.append(np.flatnonzero(total[:-1]), length - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(dtype))], ["slot", "v"])
+
+    got = rows.mapInArrow(run, f"slot int, v {kind}").groupBy("slot").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(max(got["slot"].to_pylist(), default=-1) + 1, dtype)
+    out[got["slot"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _moments(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.concatenate([n @ x, n @ (x * x), [n[y == 0].sum(), n[y == 1].sum(), 1.0]])
+
+
+def _by_bin(w: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Of each label and bin of the score: rows, sums of features and of products of two."""
+    i, j = np.triu_indices(len(w) + 1)
+
+    def run(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        z = np.rint(np.clip((x - centre) / scale, -6, 6) * ONE).astype(np.int64)
+        at = np.clip(np.floor(z @ w / ONE / WIDTH) + BINS // 2, 0, BINS - 1).astype(np.int64) + BINS * y
+        order = np.argsort(at, kind="stable")
+        z, at, n = np.column_stack([np.ones(len(z), np.int64), z])[order], at[order], n[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out = np.zeros((2 * BINS, len(i)), np.int64)
+        out[at[first]] = np.add.reduceat(z[:, i] * (z[:, j] * n[:, None]), first)
+        return out.ravel()
+
+    return run
+
+
+def _newton(sums: np.ndarray, w: np.ndarray, decay: float) -> tuple[float, np.ndarray, float]:
+    """Mean loss of all pairs at w, the next w, and the deviation of the scores, from the sums by label and bin."""
+    k = len(w)
+    i, j = np.triu_indices(k + 1)
+    flat = np.zeros(2 * BINS * len(i))
+    flat[: len(sums)] = sums
+    m = np.zeros((2, BINS, k + 1, k + 1))
+    m[:, :, i, j] = m[:, :, j, i] = flat.reshape(2, BINS, -1)
+    m[:, :, 1:, :] /= ONE
+    m[:, :, :, 1:] /= ONE
+    n, z, zz = m[:, :, 0, 0], m[:, :, 0, 1:], m[:, :, 1:, 1:]
+    s = z @ w / np.maximum(n, 1)
+    d = s[1][:, None] - s[0][None, :]  # of each pair of bins, label 1 first
+    pairs = n[1][:, None] * n[0][None, :] / (n[1].sum() * n[0].sum())
+    wrong = 1 / (1 + np.exp(np.clip(d, -500, 500)))
+    loss = float((pairs * np.logaddexp(0, -d)).sum() + decay / 2 * w @ w)
+    pull, bend = pairs * wrong, pairs * wrong * (1 - wrong)
+    mean = z / np.maximum(n, 1)[:, :, None]
+    slope = -(pull.sum(axis=1) @ mean[1] - pull.sum(axis=0) @ mean[0]) + decay * w
+    own = lambda c, axis: np.tensordot(bend.sum(axis=axis) / np.maximum(n[c], 1), zz[c], 1)
+    cross = mean[1].T @ bend @ mean[0]
+    curve = own(1, 1) + own(0, 0) - cross - cross.T + decay * np.eye(k)
+    every, total = zz.sum(axis=(0, 1)), n.sum()
+    middle = z.sum(axis=(0, 1)) @ w / total
+    return loss, w - np.linalg.solve(curve, slope), float(np.sqrt(max(w @ every @ w / total - middle**2, 0.0)))
+
+
+def _ranked(rows: DataFrame, k: int, w: np.ndarray, centre: np.ndarray, scale: np.ndarray, bins: int = 1024) -> tuple[float, float]:
+    """The k-th and the next training score, from 1, exactly: counts, least and largest of bins, and again within a bin that holds both."""
+    lo, hi, below = -6 * float(np.abs(w).sum()) - 1, 6 * float(np.abs(w).sum()) + 1, 0
+    while True:
+        a, b = lo, hi
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+                s = (np.clip((x - centre) / scale, -6, 6) * w).sum(axis=1)
+                n, inside = part.column("_n").to_numpy(), (s >= a) & (s <= b)
+                s, n = s[inside], n[inside]
+                at = np.minimum(((s - a) / max(b - a, 1e-300) * bins).astype(np.int64), bins - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(s)], ["bin", "n", "s"])
+
+        got = rows.mapInArrow(run, "bin long, n long, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").toPandas()
+        upto = below + got["n"].to_numpy().cumsum()
+        first, second = int(np.searchsorted(upto, k)), int(np.searchsorted(upto, k + 1))
+        if first != second:
+            return float(got["high"][first]), float(got["low"][second])
+        if got["low"][first] == got["high"][first]:
+            return float(got["low"][first]), float(got["low"][first])
+        below = int(upto[first - 1]) if first else below
+        lo, hi = float(got["low"][first]), float(got["high"][first])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", steps: int = 30, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float] | None:
+    """Mean, scale, weights, threshold and width, from all labels that aren't held out; None without both kinds."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id", F.col(label).cast("long").alias("_y")).agg(F.count("*").alias("_n"))
+    scope = store.Scope(docs.sparkSession)
+    try:
+        with scope:
+            rows = store.save(_featured(docs.where(F.col("doc_id").isNotNull() & ~held_out()), ["doc_id"]).join(known, "doc_id").select("_y", "_n", "x"), "labelled")
+        return _fitted(rows, steps, decay)
+    finally:
+        scope.drop()
+
+
+def _fitted(rows: DataFrame, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float] | None:
+    sums = _totals(rows, _moments, "double")
+    if not len(sums) or not sums[-3] or not sums[-2]:
         return None
-    x = np.stack(rows["x"].to_numpy())
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - centre) / scale, -6, 6)
-    r = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    pairs = min(MAX_PAIRS, 20 * len(y))
-    better, worse = r.choice(good, pairs), r.choice(bad, pairs)
-    w, m, v = (np.zeros(z.shape[1]) for _ in range(3))
-    for t in range(1, steps + 1):  # Adam on batches of pairs
-        at = r.integers(0, pairs, 4096)
-        d = z[better[at]] - z[worse[at]]
-        g = -(d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(axis=0) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    s = np.sort(z @ w)
-    k = min(max(int(round((y == 0).mean() * len(s))), 1), len(s) - 1)
-    return centre, scale, w, float((s[k - 1] + s[k]) / 2), float(s.std() / 2 + 1e-9)
+    n = sums[-3] + sums[-2]
+    digits = lambda v: np.array([float(f"{x:.9g}") for x in v])  # noqa: E731  whatever the order of the sums
+    centre, squares = np.split(sums[:-3] / n, 2)
+    centre, scale = digits(centre), digits(np.sqrt(np.maximum(squares - centre**2, 0))) + 1e-6
+    best, good, w = np.inf, np.zeros(len(centre)), np.zeros(len(centre))
+    for _ in range(steps):
+        loss, new, dev = _newton(_totals(rows, _by_bin(w, centre, scale)), w, decay)
+        if loss > 1.001 * best:  # too far
+            w = (good + w) / 2
+            continue
+        gain = best - loss
+        if loss < best:
+            best, good, width = loss, w, dev
+        if gain < 1e-3 * loss:
+            break
+        w = new
+    k = min(max(int(round(sums[-3])), 1), int(n) - 1)
+    return centre, scale, good, float(np.mean(_ranked(rows, k, good, centre, scale))), width / 2 + 1e-9
 
 
 def score(docs: DataFrame, model) -> DataFrame:

@@ -227,6 +227,27 @@ def test_quality_model(spark):
     assert {r["score"] for r in quality_model.score(frame(spark, docs), None).collect()} == {0.5}
 
 
+def test_quality_model_learns_from_every_label(spark):
+    r = np.random.default_rng(4)
+    x, y, n = r.normal(0, 1, (3000, 4)), r.integers(0, 2, 3000), r.integers(1, 4, 3000)
+    x[:, 0] += 2 * y
+    rows = spark.createDataFrame([(int(a), int(b), [float(v) for v in c]) for a, b, c in zip(y, n, x, strict=True)], "_y long, _n long, x array<double>").repartition(5)
+    centre, scale, w, threshold, _ = quality_model._fitted(rows, 30, 1e-4)
+    whole = np.repeat(x, n, axis=0)
+    assert np.allclose(centre, whole.mean(axis=0)) and np.allclose(scale, whole.std(axis=0), atol=1e-5)
+    z = np.clip((x - centre) / scale, -6, 6)
+    s = np.sort(np.repeat((z * w).sum(axis=1), n))
+    k = int(n[y == 0].sum())
+    assert np.isclose(threshold, (s[k - 1] + s[k]) / 2, atol=1e-12)
+    good, bad, ng, nb = z[y == 1], z[y == 0], n[y == 1], n[y == 0]
+    wrong = ng[:, None] * nb[None, :] / (1 + np.exp((good @ w)[:, None] - (bad @ w)[None, :]))
+    slope = -(wrong.sum(axis=1) @ good - wrong.sum(axis=0) @ bad) / (ng.sum() * nb.sum()) + 1e-4 * w
+    assert np.abs(slope).max() < 3e-3  # of all pairs
+    again = quality_model._fitted(rows.repartition(3), 30, 1e-4)
+    assert (again[2] == w).all() and again[3] == threshold
+    assert quality_model._fitted(rows.where("_y = 1"), 30, 1e-4) is None
+
+
 def test_line_dedup(spark):
     docs = {i: f"own line {'abcdefghij'[i % 10]}{'klm'[i % 3]} of this document {i}x\nAll rights reserved by the owner {i}\nthe system has logged in user {"nopqrstuvw"[i % 10]} once more\n\ntail {i}{i}" for i in range(24)}
     docs |= {900: None, 901: "", 902: "\n\n"}
