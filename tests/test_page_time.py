@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pytest
 
+from folioframe.operators import dewarp as D
 from folioframe.operators import kernels as K
 from folioframe.plans import scan_queries
 from folioframe.sources import rasters
@@ -35,6 +36,7 @@ LIMITS = {
     "content_box": 14,
     "output_mixed": 30,
     "layers": 30,
+    "text_lines": 45,
 }
 
 
@@ -121,3 +123,38 @@ def test_pages_without_pictures_are_told_without_their_pictures(monkeypatch):
     assert all(told[:4]) and not any(told[4:8])
     monkeypatch.setattr(K, "_without_pictures", lambda g, dpi: False)
     assert all((a == b).all() for a, b in zip(fast, [K.content_mask(g, dpi) for g in some for dpi in (75, 100)], strict=True))
+
+
+def test_snakes_of_many_curves_move_as_alone():
+    r = np.random.default_rng(15)
+    blur = K.local_mean(r.integers(0, 256, (60, 90)).astype(np.uint8), 5)[0]
+    curves = [np.column_stack([np.sort(r.choice(90, n, replace=False)), r.uniform(0, 59, n)]) for n in (1, 2, 40, 7, 40)]
+    for c, got in zip(curves, D.snakes(blur, curves), strict=True):
+        assert (got == D.snake(blur, c)).all()
+        h, y = 60, c[:, 1]
+        for _ in range(8):  # all ways, point by point
+            place = np.clip(y[:, None] + np.array([-1.0, 0.0, 1.0]), 0, h - 1)
+            cost = blur[np.round(place).astype(int), c[:, 0].astype(int)[:, None]]
+            bend, total, back = np.append(0.0, np.diff(y)), cost[0], []
+            for i in range(1, len(y)):
+                pair = total[:, None] + 2.0 * (place[i][None, :] - place[i - 1][:, None] - bend[i]) ** 2
+                back.append(pair.argmin(axis=0))
+                total = pair.min(axis=0) + cost[i]
+            path = [int(total.argmin())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            y = place[np.arange(len(y)), path[::-1]]
+        assert (got[:, 1] == y).all()
+
+
+def test_residuals_are_mean_distances_from_lines():
+    r = np.random.default_rng(16)
+    curves = [np.column_stack([np.arange(n) * 3.0, r.uniform(30, 60, n)]) for n in (1, 2, 20, 33)]
+    top, bottom = r.uniform(0, 5, 100), r.uniform(70, 90, 100)
+    want = []
+    for c in curves:
+        x = c[:, 0].astype(int)
+        v = (c[:, 1] - top[x]) / (bottom[x] - top[x]) * (bottom - top).mean()
+        line = np.polyval(np.polyfit(c[:, 0], v, 1), c[:, 0]) if len(c) > 1 else v
+        want.append(np.abs(v - line).mean())
+    assert np.allclose(D.residuals(curves, [(top, bottom), (bottom, top)]), [np.mean(want), 1000.0])
