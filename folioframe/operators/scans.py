@@ -46,15 +46,36 @@ def rasters(pages: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFram
     return pages.select("img_id", "width", "height", "data").mapInArrow(run, PACKED)
 
 
-def figures(pages: DataFrame, f: Callable[[np.ndarray], tuple | list[tuple]], columns: str, many: bool = False) -> DataFrame:
-    """img_id and the columns that f gives of each page; many: a list of rows of them, none for none."""
+def together(f: Callable[[list[np.ndarray]], list], most: int = 32, pixels: int = 1 << 21) -> Callable[[Iterator[np.ndarray | None]], Iterator]:
+    """f of up to ``most`` pages at a time, or as many as have so many pixels; None for None, in order."""
+
+    def run(pages: Iterator[np.ndarray | None]) -> Iterator:
+        held: list[np.ndarray | None] = []
+
+        def flush() -> Iterator:
+            got = iter(f([a for a in held if a is not None]))
+            yield from [None if a is None else next(got) for a in held]
+            held.clear()
+
+        for a in pages:
+            held.append(a)
+            if len(held) >= most or sum(x.size for x in held if x is not None) >= pixels:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def figures(pages: DataFrame, f: Callable[[np.ndarray], tuple | list[tuple]], columns: str, many: bool = False, before: Callable[[list[np.ndarray]], list] | None = None) -> DataFrame:
+    """img_id and the columns that f gives of each page; many: a list of rows of them, none for none. before: what f takes, from several pages together, instead of a page."""
     schema = StructType.fromDDL("img_id long, " + columns)
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, a in _each(b):
+            rows, ids = [], b.column("img_id").to_pylist()
+            each = (a for _, a in _each(b))
+            for k, a in zip(ids, together(before)(each) if before else each, strict=True):
                 if many:
                     rows += [(k, *r) for r in (f(a) if a is not None else [])]
                 else:

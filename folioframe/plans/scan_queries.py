@@ -58,9 +58,14 @@ def _big(b: np.ndarray) -> np.ndarray:
     return np.append(False, (box[:, 3] - box[:, 1] + 1 >= 3) | (box[:, 4] - box[:, 2] + 1 >= 3))[label]
 
 
-def page(name: str, f: Callable[[np.ndarray], tuple | list[tuple]], columns: str, many: bool = False) -> None:
-    """A query that gives columns of each rendered page."""
-    QUERIES[f"page_{name}"] = lambda spark, d: S.figures(R.scans(spark, d), f, columns, many)
+def page(name: str, f: Callable[..., tuple | list[tuple]], columns: str, many: bool = False, before: Callable[[list[np.ndarray]], list] | None = None) -> None:
+    """A query that gives columns of each rendered page, or of what before makes of several."""
+    QUERIES[f"page_{name}"] = lambda spark, d: S.figures(R.scans(spark, d), f, columns, many, before)
+
+
+def with_lines(pages: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Pages and their text lines."""
+    return list(zip(pages, D.text_lines_of(pages), strict=True))
 
 
 def total(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], tuple]:
@@ -101,11 +106,11 @@ page("white_rectangles", lambda g: [(k, *r) for k, r in enumerate(K.white_rectan
 page("rectangles", lambda g: [(k, *r) for k, r in enumerate(K.rectangles(K.reduced(S.black(g), 1)))], f"rank int, {BOX}", many=True)
 page("lines", lambda g: [(k, round(a, 6), round(d, 6), n) for k, (a, d, n) in enumerate(K.line_finder(np.argwhere(K.eroded_points(K.reduced(K.reduced(S.black(g), 1), 2)))[:, ::-1].reshape(-1, 2), 2, 20))], "rank int, angle double, distance double, points int", many=True)
 page("polarity", lambda g: (lambda p: (p[0], round(p[1], 6), K.needs_inversion(g)))(K.polarity(g)), "polarity string, confidence double, inverted boolean")
-page("text_lines", lambda g: [(k, len(c), round(float(c[:, 1].mean()), 6)) for k, c in enumerate(D.text_lines(g))], "line int, points int, y double", many=True)
+page("text_lines", lambda curves: [(k, len(c), round(float(c[:, 1].mean()), 6)) for k, c in enumerate(curves)], "line int, points int, y double", many=True, before=D.text_lines_of)
 page("vertical_bounds", lambda g: (lambda b: (None,) * 4 if b is None else (round(b[0][0], 6), round(b[0][1], 6), round(b[1][0], 6), round(b[1][1], 6)))(D.vertical_bounds(S.black(g))), "left double, left_slope double, right double, right_slope double")
 page("edges", lambda g: (lambda e: (round(float(e[0].mean()), 6), round(float(e[1].mean()), 6)))(D.edges(g)) if g.shape[0] > 2 else (None, None), "top double, bottom double")
-page("dewarp_model", lambda g: (lambda c: (lambda m: (m is not None, None if m is None else round(D.residual(c, *m), 6)))(D.model(g, curves=c)))(D.text_lines(g)), "found boolean, residual double")
-page("dewarped", total(lambda g: (lambda m: g if m is None else D.straightened(g, *m))(D.model(g))), SUM)
+page("dewarp_model", lambda p: (lambda m: (m is not None, None if m is None else round(D.residual(p[1], *m), 6)))(D.model(p[0], curves=p[1])), "found boolean, residual double", before=with_lines)
+page("dewarped", total(lambda p: (lambda m: p[0] if m is None else D.straightened(p[0], *m))(D.model(p[0], curves=p[1]))), SUM, before=with_lines)
 for mode in ("as_is", "gray", "bw", "mixed"):
     page(f"output_{mode}", total(lambda g, m=mode: S.routed(g, m, dpi=100)), SUM)
 

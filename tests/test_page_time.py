@@ -9,6 +9,7 @@ import pytest
 
 from folioframe.operators import dewarp as D
 from folioframe.operators import kernels as K
+from folioframe.operators import scans as S
 from folioframe.plans import scan_queries
 from folioframe.sources import rasters
 
@@ -36,7 +37,9 @@ LIMITS = {
     "content_box": 14,
     "output_mixed": 30,
     "layers": 30,
-    "text_lines": 45,
+    "text_lines": 25,
+    "dewarp_model": 50,
+    "dewarped": 50,
 }
 
 
@@ -44,12 +47,12 @@ LIMITS = {
 def test_time_a_page(name, monkeypatch):
     kept = {}
     monkeypatch.setattr(scan_queries.R, "scans", lambda spark, d: None)
-    monkeypatch.setattr(scan_queries.S, "figures", lambda scans, f, *rest, **more: kept.setdefault("f", f))
+    monkeypatch.setattr(scan_queries.S, "figures", lambda scans, f, columns, many=False, before=None: kept.update(f=f, before=before))
     scan_queries.QUERIES[f"page_{name}"](None, "")
     some = pages()
-    kept["f"](some[0])
+    kept["f"]((kept["before"] or list)(some[:1])[0])
     began = time.process_time()
-    for g in some:
+    for g in (kept["before"] or list)(some):
         kept["f"](g)
     assert (time.process_time() - began) / len(some) * 1000 < LIMITS[name]
 
@@ -129,7 +132,7 @@ def test_snakes_of_many_curves_move_as_alone():
     r = np.random.default_rng(15)
     blur = K.local_mean(r.integers(0, 256, (60, 90)).astype(np.uint8), 5)[0]
     curves = [np.column_stack([np.sort(r.choice(90, n, replace=False)), r.uniform(0, 59, n)]) for n in (1, 2, 40, 7, 40)]
-    for c, got in zip(curves, D.snakes(blur, curves), strict=True):
+    for c, got in zip(curves, D.snakes([blur], curves, np.zeros(5, int)), strict=True):
         assert (got == D.snake(blur, c)).all()
         h, y = 60, c[:, 1]
         for _ in range(8):  # all ways, point by point
@@ -158,3 +161,12 @@ def test_residuals_are_mean_distances_from_lines():
         line = np.polyval(np.polyfit(c[:, 0], v, 1), c[:, 0]) if len(c) > 1 else v
         want.append(np.abs(v - line).mean())
     assert np.allclose(D.residuals(curves, [(top, bottom), (bottom, top)]), [np.mean(want), 1000.0])
+
+
+def test_lines_of_several_pages_are_those_of_each():
+    some = [*pages(5), np.full((20, 30), 230, np.uint8), np.zeros((1, 1), np.uint8), np.full((400, 300), 9, np.uint8)]
+    for g, curves in zip(some, D.text_lines_of(some), strict=True):
+        alone = D.text_lines(g)
+        assert len(alone) == len(curves) and all((a == b).all() for a, b in zip(alone, curves, strict=True))
+    run = S.together(lambda pages: [p.shape for p in pages], 3)
+    assert list(run(iter([some[0], None, some[5], some[6], None]))) == [some[0].shape, None, (20, 30), (1, 1), None] and list(run(iter([]))) == []
