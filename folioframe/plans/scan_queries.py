@@ -63,9 +63,10 @@ def page(name: str, f: Callable[..., tuple | list[tuple]], columns: str, many: b
     QUERIES[f"page_{name}"] = lambda spark, d: S.figures(R.scans(spark, d), f, columns, many, before)
 
 
-def with_lines(pages: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """Pages and their text lines."""
-    return list(zip(pages, D.text_lines_of(pages), strict=True))
+def with_models(pages: list[np.ndarray]) -> list[tuple]:
+    """Pages, their text lines and their models."""
+    lines = D.text_lines_of(pages)
+    return list(zip(pages, lines, D.models(pages, lines), strict=True))
 
 
 def total(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], tuple]:
@@ -109,15 +110,15 @@ page("polarity", lambda g: (lambda p: (p[0], round(p[1], 6), K.needs_inversion(g
 page("text_lines", lambda curves: [(k, len(c), round(float(c[:, 1].mean()), 6)) for k, c in enumerate(curves)], "line int, points int, y double", many=True, before=D.text_lines_of)
 page("vertical_bounds", lambda g: (lambda b: (None,) * 4 if b is None else (round(b[0][0], 6), round(b[0][1], 6), round(b[1][0], 6), round(b[1][1], 6)))(D.vertical_bounds(S.black(g))), "left double, left_slope double, right double, right_slope double")
 page("edges", lambda g: (lambda e: (round(float(e[0].mean()), 6), round(float(e[1].mean()), 6)))(D.edges(g)) if g.shape[0] > 2 else (None, None), "top double, bottom double")
-page("dewarp_model", lambda p: (lambda m: (m is not None, None if m is None else round(D.residual(p[1], *m), 6)))(D.model(p[0], curves=p[1])), "found boolean, residual double", before=with_lines)
-page("dewarped", total(lambda p: (lambda m: p[0] if m is None else D.straightened(p[0], *m))(D.model(p[0], curves=p[1]))), SUM, before=with_lines)
+page("dewarp_model", lambda p: (p[2] is not None, None if p[2] is None else round(D.residual(p[1], *p[2]), 6)), "found boolean, residual double", before=with_models)
+page("dewarped", total(lambda p: p[0] if p[2] is None else D.straightened(p[0], *p[2])), SUM, before=with_models)
 for mode in ("as_is", "gray", "bw", "mixed"):
     page(f"output_{mode}", total(lambda g, m=mode: S.routed(g, m, dpi=100)), SUM)
 
 
 def layers(spark, sf_dir: str) -> DataFrame:
     """Foreground, background and mask of each page, counted."""
-    return S.figures(R.scans(spark, sf_dir), lambda g: [(k, int((v < 255).sum())) for k, v in S.layers(S.routed(g, "mixed", dpi=100)).items()], "layer string, ink long", many=True)
+    return S.figures(R.scans(spark, sf_dir), lambda g: [(k, int(np.count_nonzero(v < 255))) for k, v in S.layers(S.routed(g, "mixed", dpi=100)).items()], "layer string, ink long", many=True)
 
 
 QUERIES["page_layers"] = layers

@@ -170,3 +170,29 @@ def test_lines_of_several_pages_are_those_of_each():
         assert len(alone) == len(curves) and all((a == b).all() for a, b in zip(alone, curves, strict=True))
     run = S.together(lambda pages: [p.shape for p in pages], 3)
     assert list(run(iter([some[0], None, some[5], some[6], None]))) == [some[0].shape, None, (20, 30), (1, 1), None] and list(run(iter([]))) == []
+
+
+def test_curves_of_dewarping_are_fitted_together(monkeypatch):
+    r = np.random.default_rng(17)
+    curves = [np.column_stack([np.sort(r.choice(w, n, replace=False)), r.uniform(0, 59, n)]) for w, n in ((120, 1), (120, 3), (120, 4), (120, 33), (90, 63), (120, 60))]
+    widths = [120, 120, 120, 120, 90, 120]
+    for c, w, got in zip(curves, widths, D.fitted_all(curves, widths), strict=True):
+        assert np.allclose(got, D.fitted(c, w), rtol=1e-9, atol=1e-9)
+    some = [*pages(4), np.full((20, 30), 230, np.uint8)]
+    lines = D.text_lines_of(some)
+    for g, c, got in zip(some, lines, D.models(some, lines), strict=True):
+        alone = D.model(g, curves=c)
+        assert (got is None) == (alone is None) and (got is None or all(np.allclose(a, b, atol=1e-9) for a, b in zip(got, alone, strict=True)))
+    found = [D.model(g) is not None for g in some]
+    calls = []
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a: calls.append(1))
+    assert [m is not None for _, _, m in scan_queries.with_models(some)] == found and any(found) and not calls
+
+
+def test_window_sums_of_gray_are_those_of_any_numbers():
+    r = np.random.default_rng(18)
+    for h, w, size in ((1, 1, 5), (1, 40, 31), (33, 2, 6), (70, 50, 31), (9, 9, 256), (20, 30, 1)):
+        g = r.integers(0, 256, (h, w)).astype(np.uint8)
+        for a, b in zip(K.local_mean(g, size), K.local_mean(g.astype(np.int64), size), strict=True):
+            assert (a == b).all()
+        assert (K.mean_only(g, size) == K.local_mean(g.astype(np.int64), size)[0]).all()
