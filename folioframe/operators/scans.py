@@ -137,7 +137,8 @@ def routed(g: np.ndarray, mode: str, method: str = "otsu", curves: bool = False,
         return (255 * (1 - bw)).astype(np.uint8)
     if mode != "mixed":
         raise ValueError(f"no mode {mode}")
-    return np.where(mask > 0, 255 * (1 - bw), np.clip(even, 1, 254)).astype(np.uint8)
+    pure = (255 * (1 - bw)).astype(np.uint8)
+    return pure if mask.all() else np.where(mask > 0, pure, np.clip(even, 1, 254)).astype(np.uint8)
 
 
 # Layers of a result, as bits.
@@ -155,7 +156,7 @@ def layer_set(mode: str, split: bool, pictures_by_zone: bool) -> int:
 def layers(g: np.ndarray) -> dict[str, np.ndarray]:
     """Foreground (pure black and white), background (all else, white where foreground is) and mask of a mixed page."""
     pure = (g == 0) | (g == 255)
-    return {"foreground": np.where(pure, g, 255), "background": np.where(pure, 255, g), "mask": np.where(pure, 0, 255)}
+    return {"foreground": np.where(pure, g, 255), "background": np.where(pure, 255, g), "mask": np.where(pure, np.uint8(0), np.uint8(255))}
 
 
 def zoned(g: np.ndarray, mask: np.ndarray, zones: list[tuple[str, tuple[int, int, int, int]]], fills: list[tuple[int, tuple[int, int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,39 +83,63 @@ def to_long(packed: DataFrame) -> DataFrame:
 WRAP, CELL, MARGIN = 48, (2, 4), 12
 
 
+@lru_cache(16)
+def _turned(turns: int) -> list[tuple[int, int, int]]:
+    """Neighbouring columns of the text block that a turn by half degrees moves down equally: first, one past the last, lines."""
+    w = WRAP * CELL[0]
+    down = np.floor(np.tan(np.radians(turns * 0.5)) * (np.arange(w) + 0.5 - w / 2) + 0.5).astype(int)
+    at = [0, *(np.flatnonzero(np.diff(down)) + 1).tolist(), w]
+    return [(i, j, int(down[i])) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def _rendered(doc: int, text: str) -> tuple[int, int, bytes]:
-    """Width, height and gray pixels of a text as a page: 48 characters a line, ink where a character isn't blank, turned by up to two degrees, with a dark fold line on each third page."""
+    """Width, height and gray pixels of ``drawn``."""
+    page = drawn(doc, text)
+    return page.shape[1], page.shape[0], page.tobytes()
+
+
+def drawn(doc: int, text: str) -> np.ndarray:
+    """A text as a page: 48 characters a line, ink where a character isn't blank, turned by up to two degrees (less than the margin), with a dark fold line on each third page."""
     ink = np.frombuffer((text or "").encode("utf-32-le"), np.uint32) > 32
     rows = max(1, -(-len(ink) // WRAP))
     grid = np.zeros(rows * WRAP, bool)
     grid[: len(ink)] = ink
-    grid = grid.reshape(rows, WRAP)
     h, w = rows * CELL[1] + 2 * MARGIN, WRAP * CELL[0] + 2 * MARGIN
-    page = np.full((h, w), 235 - 10 * (doc % 3), np.uint8)
-    y, x = np.nonzero(grid)
-    turn = np.tan(np.radians(((doc % 9) - 4) * 0.5))
+    paper = 235 - 10 * (doc % 3)
+    page = np.full((h, w), paper, np.uint8)
+    block = np.full((rows, CELL[1], WRAP, CELL[0]), paper, np.uint8)
     for dy in range(CELL[1] // 2):
         for dx in range(CELL[0]):
-            px = MARGIN + x * CELL[0] + dx
-            py = MARGIN + y * CELL[1] + dy + np.floor(turn * (px + 0.5 - w / 2) + 0.5).astype(int)
-            ok = (py >= 0) & (py < h)
-            page[py[ok], px[ok]] = 30 + (px[ok] + dy) % 2 * 20
+            block[:, dy, :, dx] = np.where(grid.reshape(rows, WRAP), np.uint8(30 + (MARGIN + dx + dy) % 2 * 20), np.uint8(paper))
+    block = block.reshape(rows * CELL[1], WRAP * CELL[0])
+    for i, j, down in _turned(doc % 9 - 4):
+        page[MARGIN + down : h - MARGIN + down, MARGIN + i : MARGIN + j] = block[:, i:j]
     if doc % 3 == 0:
         page[:, w // 2 : w // 2 + 2] = 60
-    return w, h, page.tobytes()
+    return page
+
+
+def draw(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The page of each text of a batch (img_id, text)."""
+    for i in range(0, b.num_rows, 64):
+        part = b.slice(i, 64)
+        for k, t in zip(part.column("img_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            yield drawn(k or 0, t)
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as packed gray pages, each text whole."""
+    """Documents as packed gray pages, each text whole; its attribute ``texts`` holds (img_id, text) for those who ``draw`` the pages where they use them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                ids = part.column("img_id").to_pylist()
-                got = [_rendered(k or 0, t) for k, t in zip(ids, part.column("text").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("img_id"), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], ["img_id", "width", "height", "data"])
+                got = list(draw(part))
+                yield pa.RecordBatch.from_arrays([part.column("img_id"), pa.array([a.shape[1] for a in got], pa.int32()), pa.array([a.shape[0] for a in got], pa.int32()), pa.array([a.tobytes() for a in got], pa.binary())], ["img_id", "width", "height", "data"])
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img_id"), "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return docs.repartition(parts, F.xxhash64("img_id")).mapInArrow(run, PACKED)
+    texts = docs.repartition(parts, F.xxhash64("img_id"))
+    pages = texts.mapInArrow(run, PACKED)
+    pages.texts = texts
+    return pages

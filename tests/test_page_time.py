@@ -196,3 +196,11 @@ def test_window_sums_of_gray_are_those_of_any_numbers():
         for a, b in zip(K.local_mean(g, size), K.local_mean(g.astype(np.int64), size), strict=True):
             assert (a == b).all()
         assert (K.mean_only(g, size) == K.local_mean(g.astype(np.int64), size)[0]).all()
+
+
+def test_layers_of_pages_without_pictures_stay_bytes():
+    for g in (*pages(3), np.full((30, 40), 200, np.uint8)):
+        got = S.layers(S.routed(g, "mixed", dpi=100))
+        assert {k: v.dtype.name for k, v in got.items()} == dict.fromkeys(got, "uint8")
+        mask, bw = K.content_mask(g, 100), S.routed(g, "bw", dpi=100)
+        assert mask.all() and (S.routed(g, "mixed", dpi=100) == np.where(mask > 0, bw, np.clip(K.lit(g), 1, 254))).all()
