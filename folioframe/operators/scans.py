@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from folioframe.operators import dewarp
 from folioframe.operators import kernels as K
-from folioframe.sources.rasters import PACKED
+from folioframe.sources.rasters import PACKED, draw
 
 
 def page_of(width: int | None, height: int | None, data: bytes | None) -> np.ndarray | None:
@@ -67,14 +67,16 @@ def together(f: Callable[[list[np.ndarray]], list], most: int = 32, pixels: int
 
 
 def figures(pages: DataFrame, f: Callable[[np.ndarray], tuple | list[tuple]], columns: str, many: bool = False, before: Callable[[list[np.ndarray]], list] | None = None) -> DataFrame:
-    """img_id and the columns that f gives of each page; many: a list of rows of them, none for none. before: what f takes, from several pages together, instead of a page."""
+    """img_id and the columns that f gives of each page; many: a list of rows of them, none for none. before: what f takes, from several pages together, instead of a page. Pages that come from texts are drawn here and never leave the task."""
+    texts = vars(pages).get("texts")
+    drawn = texts is not None
     schema = StructType.fromDDL("img_id long, " + columns)
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, ids = [], b.column("img_id").to_pylist()
-            each = (a for _, a in _each(b))
+            each = draw(b) if drawn else (a for _, a in _each(b))
             for k, a in zip(ids, together(before)(each) if before else each, strict=True):
                 if many:
                     rows += [(k, *r) for r in (f(a) if a is not None else [])]
@@ -82,7 +84,7 @@ def figures(pages: DataFrame, f: Callable[[np.ndarray], tuple | list[tuple]], co
                     rows.append((k, *(f(a) if a is not None else (None,) * (len(kinds) - 1))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(kinds)], names=kinds.names)
 
-    return pages.select("img_id", "width", "height", "data").mapInArrow(run, schema)
+    return (pages.select("img_id", "width", "height", "data") if texts is None else texts).mapInArrow(run, schema)
 
 
 def black(g: np.ndarray) -> np.ndarray:

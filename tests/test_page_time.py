@@ -204,3 +204,14 @@ def test_layers_of_pages_without_pictures_stay_bytes():
         assert {k: v.dtype.name for k, v in got.items()} == dict.fromkeys(got, "uint8")
         mask, bw = K.content_mask(g, 100), S.routed(g, "bw", dpi=100)
         assert mask.all() and (S.routed(g, "mixed", dpi=100) == np.where(mask > 0, bw, np.clip(K.lit(g), 1, 254))).all()
+
+
+@pytest.mark.parametrize("name", ["lit", "output_gray"])
+def test_pages_are_drawn_where_they_are_used(name, spark):
+    docs = "/root/testdata/sf0.001"
+    pages = scan_queries.QUERIES[f"page_{name}"](spark, docs)
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    f = {"lit": K.lit, "output_gray": lambda g: S.routed(g, "gray", dpi=100)}[name]
+    stored = S.figures(rasters.scans(spark, docs).select("*"), scan_queries.total(f), scan_queries.SUM)  # by way of rows
+    assert sorted(map(tuple, pages.collect())) == sorted(map(tuple, stored.collect()))
